@@ -33,6 +33,7 @@ import hashlib
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .common import Scratch, release_shuffles, ship
 
@@ -286,10 +287,16 @@ def repeated_strings(documents: DataFrame, scratch: Scratch) -> tuple[DataFrame,
     asked = member.join(several, "rank", "left_semi").select("m.text_hash", "m.low", "m.high").distinct()
     asked = asked.groupBy("text_hash").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
     open_texts = texts.select("text_hash", "data").join(asked, "text_hash")
-    named = scratch.save(strings_at(open_texts).distinct())
-    often = named.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
-    more = named.join(often, "name", "left_semi").select("text_hash", F.col("start").alias("low"), F.col("start").alias("high"))
-    ranges = scratch.save(settled.unionByName(more).distinct())
+    # One exchange by name; a name has one row per text and start, so none is hot. Neighbours in
+    # the order (text, start) differ unless a repeated input row gave a text twice.
+    named = strings_at(open_texts)
+    by_name = W.partitionBy("name").orderBy("text_hash", "start")
+    away = lambda at: (F.col("text_hash") != at("text_hash")) | (F.col("start") != at("start"))
+    before = lambda c: F.lag(c).over(by_name)
+    after = lambda c: F.lead(c).over(by_name)
+    named = named.withColumn("again", F.coalesce(away(before), F.lit(False)) | F.coalesce(away(after), F.lit(False)))
+    more = named.where("again").select("text_hash", F.col("start").alias("low"), F.col("start").alias("high"))
+    ranges = settled.unionByName(more).distinct()
     ranges = ranges.groupBy("text_hash").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
     release_shuffles(spark)
     return texts.select("text_hash", "data").join(ranges, "text_hash"), copies.where("n > 1").select("text_hash")
