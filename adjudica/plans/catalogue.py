@@ -2,5 +2,11 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+import importlib
+
+from .registry import ORACLES, QUERIES
+
+for _name in ("duels", "samples", "copies"):
+    importlib.import_module(f"{__package__}.{_name}")
+
+__all__ = ["ORACLES", "QUERIES"]
