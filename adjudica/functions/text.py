@@ -155,7 +155,8 @@ def age_seconds(then: Column, now: Column) -> Column:
 def human_bytes(n: Column) -> Column:
     units, out = ["KiB", "MiB", "GiB", "TiB"], F.concat(n.cast("string"), F.lit(" B"))
     for i, unit in enumerate(units, 1):
-        value = F.format_string(f"%.1f {unit}", n.cast("double") / float(1024**i))
+        # Ties to even, as the fractions of powers of two are exact.
+        value = F.format_string(f"%.1f {unit}", F.bround(n.cast("double") / float(1024**i), 1))
         out = F.when(n >= 1024**i, value).otherwise(out)
     return out
 

@@ -112,6 +112,8 @@ class NpyTokens(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    """Make the format known, with bounds on record_idx passed to the reader."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(NpyTokens)
 
 
