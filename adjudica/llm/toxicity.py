@@ -4,7 +4,7 @@ Text is folded first: lower case, look-alike letters of other scripts to Latin,
 and digits or signs that stand for letters inside a word to those letters. The
 lexicon holds word beginnings; the longest entry that begins a word counts.
 Words inside an exception phrase do not count. The score is a logistic function
-of the matched weight per word.
+of the matched weight, divided by a power of the number of words.
 
 Learning is distributed: document frequencies of every folded word beginning are
 counted over all labelled rows with Spark aggregates, and entries are chosen by
@@ -37,6 +37,8 @@ SAMPLE_DOCS = 8_000
 PREFIXES = (4, 5, 6, 8)
 MIN_DOCS = 5
 MIN_LOG_ODDS = 3.0
+#: The matched weight is divided by (words + 20) to this power.
+LENGTH_POWER = 0.25
 
 # Letters that look like Latin ones.
 HOMOGLYPHS = {
@@ -125,7 +127,7 @@ class Lexicon:
             for a, b in spared_to:
                 for s in starts[np.searchsorted(starts, a) : np.searchsorted(starts, b, "right")]:
                     best.pop(int(s), None)
-        return sum(w for _, w in best.values()) / math.sqrt(n + 20)
+        return sum(w for _, w in best.values()) / (n + 20) ** LENGTH_POWER
 
     def score(self, density: float) -> float:
         return 1 / (1 + math.exp(-min(30.0, max(-30.0, self.slope * density + self.offset))))
