@@ -1,7 +1,7 @@
 """Connected groups from blocks of rows, without all pairs within a block.
 
 Rows that share a block key may be linked; a verify function says which pairs
-are. Each block is first compared with one hub only, its smallest row. Rows
+are. Each block is first compared with one hub only, a central row. Rows
 known to be connected need no further comparison with each other, so only blocks
 that still hold rows of different components are looked at again, and there only
 pairs of different components are compared. That gives the same groups as all
@@ -63,33 +63,43 @@ def link_blocks(
     scratch: Scratch,
     info: DataFrame | None = None,
     near: Callable | None = None,
+    describe: Callable[[DataFrame], DataFrame] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) found and components (id, component) of the linked ids.
 
     members: (block, id), one row per id and block. verify: takes distinct pairs
     (a, b) and returns the linked ones. info: (id, columns) that ``near`` reads;
-    near: a cheap necessary condition on two accessors of those columns.
+    near: a cheap necessary condition on two accessors of those columns. describe
+    makes info, for the second comparison only, from the ids (id) that it concerns.
+
+    A block's hub is its member with most rows beside it over all its blocks: one
+    in the middle of a group links more of it than one at its edge.
     """
     spark = members.sparkSession
-    hubs = members.groupBy("block").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
-    shared = scratch.save(members.join(hubs, "block"))
+    counts = members.groupBy("block").agg(F.count("*").alias("n")).where("n > 1")
+    shared = scratch.save(members.join(counts, "block"))
     release_shuffles(spark)
-    pairs = _near(shared.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), info, near)
-    links = scratch.save(verify(pairs))
+    beside = shared.groupBy("id").agg(F.sum("n").alias("beside"))
+    hubs = shared.select("block", "id").join(beside, "id").groupBy("block").agg(F.max_by("id", "beside").alias("hub"))
+    starred = scratch.save(shared.select("block", "id").join(hubs, "block"))
+    scratch.free(shared)
+    star = starred.where("id <> hub").select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct()
+    links = scratch.save(verify(star if describe else _near(star, info, near)))
     groups = components(links, scratch)
     release_shuffles(spark)
     # Blocks that still hold more than one component.
-    told = shared.join(groups.select("id", "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    told = starred.join(groups.select("id", "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = told.groupBy("block").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo <> _hi").select("block")
-    rest = told.join(mixed, "block")
+    rest = scratch.save(told.join(mixed, "block"))
+    if describe is not None:
+        info = describe(rest.select("id").distinct())
     if info is not None:
         rest = rest.join(info, "id")
-    rest = scratch.save(rest)
     columns = [c for c in rest.columns if c not in ("block", "id", "component", "hub")]
-    x = rest.select("block", F.col("id").alias("a"), F.col("component").alias("ca"), "hub", *[F.col(c).alias(f"a_{c}") for c in columns])
+    x = rest.select("block", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("hub").alias("hub_a"), *[F.col(c).alias(f"a_{c}") for c in columns])
     y = rest.select("block", F.col("id").alias("b"), F.col("component").alias("cb"), *[F.col(c).alias(f"b_{c}") for c in columns])
     # A hub has been compared with its whole block already.
-    other = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.col("a") != F.col("hub"))
+    other = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.col("a") != F.col("hub_a")) & (F.col("b") != F.col("hub_a"))
     if near is not None:
         other = other & near(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}"))
     more = x.join(y, (x["block"] == y["block"]) & other).select("a", "b").distinct()
@@ -98,7 +108,7 @@ def link_blocks(
         links = links.unionByName(late)
         scratch.free(groups)
         groups = components(links, scratch)
-    scratch.free(shared, rest)
+    scratch.free(starred)
     release_shuffles(spark)
     return links, groups
 

@@ -130,6 +130,29 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(b, "b").join(a, "a").mapInPandas(scan, "a long, b long").distinct()
 
 
+def exploded(texts: DataFrame) -> DataFrame:
+    """(id, shingle) of whole texts."""
+
+    def scan(batches):
+        import pyarrow as pa
+
+        hashes = WordHash()
+        for batch in batches:
+            for key, text in zip(batch.column(0), batch.column(1), strict=True):
+                values = shingles(text.as_py(), hashes).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), key.as_py()), pa.int64()), pa.array(values)], ["id", "shingle"])
+
+    return texts.mapInArrow(scan, "id long, shingle long")
+
+
+def may_link(x, y):
+    """Necessary for a link: an intersection cannot exceed what either set shares with any other.
+
+    inter >= p * union is the same as inter * (1 + p) >= p * (sizes together).
+    """
+    return F.least(x("met"), y("met")) * (100 + PERCENT) >= (x("n") + y("n")) * PERCENT
+
+
 def near_duplicates(documents: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id (smallest id reachable) and kept, for every row."""
     scratch = scratch or Scratch(documents.sparkSession, "neardup")
@@ -151,7 +174,18 @@ def near_duplicates(documents: DataFrame, scratch: Scratch | None = None) -> Dat
         texts = docs.join(needed, (F.col("order") == F.col("first")) & (F.col("text_hash") == F.col("key"))).select("id", "text")
         return confirm(pairs, scratch.save(texts))
 
-    _, groups = link_blocks(members, verify, scratch)
+    def describe(ids: DataFrame) -> DataFrame:
+        """(id, n, met): set size, and how many of its shingles another of these sets holds too."""
+        wanted = ids.join(classes, ids["id"] == classes["set_id"]).select("id", "first", F.col("text_hash").alias("key"))
+        docs = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(far)).alias("order"), F.xxhash64("text").alias("text_hash"), "text")
+        texts = docs.join(wanted, (F.col("order") == F.col("first")) & (F.col("text_hash") == F.col("key"))).select("id", "text")
+        each = scratch.save(exploded(texts).distinct())
+        often = each.groupBy("shingle").agg(F.count("*").alias("m")).where("m > 1").select("shingle")
+        met = each.join(often, "shingle").groupBy("id").agg(F.count("*").alias("met"))
+        sizes = each.groupBy("id").agg(F.count("*").alias("n"))
+        return scratch.save(sizes.join(met, "id", "left").select("id", "n", F.coalesce("met", F.lit(0).cast("long")).alias("met")))
+
+    _, groups = link_blocks(members, verify, scratch, near=may_link, describe=describe)
     # Names of components, by class first: at most one row per class meets here.
     groups = groups.select(F.col("id").alias("set_id"), "component")
     named = classes.select("set_id", "first").join(groups, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
