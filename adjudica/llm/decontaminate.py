@@ -84,7 +84,8 @@ def find_hits(documents: DataFrame, benchmark: DataFrame, scratch: Scratch) -> D
     # Hit places by document; then the words there against the windows' own.
     by_doc = found.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("place", "length", "hash")).alias("places"))
     hit_docs = documents.select(*key_columns(), "text").join(
-        by_doc.select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__t"), "places"),
+        # One plan at every size: a broadcast here would turn into a shuffle of the texts as hits grow.
+        by_doc.select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__t"), "places").hint("merge"),
         F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("text_hash") == F.col("__t")),
     )
     at = hit_docs.select("doc_id", "text_hash", words_of(F.col("text")).alias("words"), "places").select(
@@ -135,7 +136,7 @@ def remove_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame
     """documents without those that hold a benchmark window; columns as they came."""
     scratch = Scratch(documents.sparkSession, "decontaminate")
     hits = scratch.save(find_hits(documents, benchmark, scratch).select("doc_id", "text_hash").distinct())
-    hits = hits.select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__t"))
+    hits = hits.select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__t")).hint("merge")
     same = F.col("doc_id").eqNullSafe(F.col("__d")) & (F.xxhash64("text") == F.col("__t"))
     return documents.join(hits, same, "left_anti")
 

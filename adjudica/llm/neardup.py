@@ -171,14 +171,15 @@ def near_duplicates(documents: DataFrame, scratch: Scratch | None = None) -> Dat
         needed = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
         needed = needed.join(classes, needed["id"] == classes["set_id"]).select("id", "first", F.col("text_hash").alias("key"))
         docs = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(far)).alias("order"), F.xxhash64("text").alias("text_hash"), "text")
-        texts = docs.join(needed, (F.col("order") == F.col("first")) & (F.col("text_hash") == F.col("key"))).select("id", "text")
+        # One plan at every size: a broadcast here would turn into a shuffle of the texts as pairs grow.
+        texts = docs.join(needed.hint("merge"), (F.col("order") == F.col("first")) & (F.col("text_hash") == F.col("key"))).select("id", "text")
         return confirm(pairs, scratch.save(texts))
 
     def describe(ids: DataFrame) -> DataFrame:
         """(id, n, met): set size, and how many of its shingles another of these sets holds too."""
         wanted = ids.join(classes, ids["id"] == classes["set_id"]).select("id", "first", F.col("text_hash").alias("key"))
         docs = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(far)).alias("order"), F.xxhash64("text").alias("text_hash"), "text")
-        texts = docs.join(wanted, (F.col("order") == F.col("first")) & (F.col("text_hash") == F.col("key"))).select("id", "text")
+        texts = docs.join(wanted.hint("merge"), (F.col("order") == F.col("first")) & (F.col("text_hash") == F.col("key"))).select("id", "text")
         each = scratch.save(exploded(texts).distinct())
         often = each.groupBy("shingle").agg(F.count("*").alias("m")).where("m > 1").select("shingle")
         met = each.join(often, "shingle").groupBy("id").agg(F.count("*").alias("met"))
