@@ -111,7 +111,7 @@ def test_line_dedup_equals_all_pairs(spark):
     docs = documents(spark, texts)
     lines = linededup.simhashes(docs).collect()
     by_key = {}
-    words = {(d.doc_id, p): re.findall(linededup.LINE_WORD, x.lower()) for d in docs.collect() if d.text is not None for p, x in enumerate(d.text.split("\n"))}
+    words = {(d.doc_id, p): [w.decode() for w in linededup.line_words(x)] for d in docs.collect() if d.text is not None for p, x in enumerate(d.text.split("\n"))}
     sims = {(r.doc, r.place): r.sim for r in lines}
     assert set(sims) == {k for k, w in words.items() if len(w) >= linededup.MIN_WORDS}
     for k, w in words.items():
@@ -159,6 +159,29 @@ def test_line_dedup_edges(spark):
     assert sorted(r.n_removed for r in linededup.dedup_lines(long).collect()) == [0, 1]
 
 
+def test_edit_distance_of_random_strings():
+    for _ in range(300):
+        a, b = ("".join(RNG.choice(list("abc"), RNG.integers(0, 12))) for _ in range(2))
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            before, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+        assert linededup.edit_distance(a, b) == row[-1]
+
+
+def test_simhash_counts_bits():
+    hashes = neardup.WordHash()
+    lines = [[b"a", b"b", b"c"], [b"a"] * 7 + [b"z"], [b"q"]]
+    want = []
+    for words in lines:
+        bits = [np.unpackbits(np.array([hashes[w]], np.uint64).view(np.uint8)) for w in words]
+        want.append(np.packbits(2 * np.sum(bits, axis=0, dtype=int) > len(words)).view(np.int64)[0])
+    assert linededup.simhash_of(lines, hashes).tolist() == want
+    long = [[b"w%d" % i for i in range(120_000)]]
+    assert linededup.simhash_of(long, hashes) == linededup.simhash_of([long[0][::-1]], hashes)
+
+
 def terms(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
 
