@@ -70,7 +70,8 @@ def link_blocks(
     members: (block, id), one row per id and block. verify: takes distinct pairs
     (a, b) and returns the linked ones. info: (id, columns) that ``near`` reads;
     near: a cheap necessary condition on two accessors of those columns. describe
-    makes info, for the second comparison only, from the ids (id) that it concerns.
+    makes info, for the later comparisons only, from the ids (id) that they concern;
+    its column ``met`` tells how much a row shares with others.
 
     A block's hub is its member with most rows beside it over all its blocks: one
     in the middle of a group links more of it than one at its edge.
@@ -87,12 +88,19 @@ def link_blocks(
     links = scratch.save(verify(star if describe else _near(star, info, near)))
     groups = components(links, scratch)
     release_shuffles(spark)
-    # Blocks that still hold more than one component.
-    told = starred.join(groups.select("id", "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = told.groupBy("block").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo <> _hi").select("block")
-    rest = scratch.save(told.join(mixed, "block"))
+    rest = _mixed(starred, groups, scratch)
     if describe is not None:
         info = describe(rest.select("id").distinct())
+        # A second star: the row that shares most with others is nearest to the middle of its group.
+        seen = rest.join(info, "id")
+        middle = seen.groupBy("block").agg(F.max_by("id", "met").alias("middle"), F.max_by("component", "met").alias("own"))
+        star = rest.select("block", "id", "component").join(middle, "block").where("component <> own")
+        star = star.select(F.least("middle", "id").alias("a"), F.greatest("middle", "id").alias("b")).distinct()
+        links = scratch.save(links.unionByName(verify(_near(star, info, near))))
+        scratch.free(groups)
+        groups = components(links, scratch)
+        rest = _mixed(starred, groups, scratch)
+        release_shuffles(spark)
     if info is not None:
         rest = rest.join(info, "id")
     columns = [c for c in rest.columns if c not in ("block", "id", "component", "hub")]
@@ -113,6 +121,13 @@ def link_blocks(
     return links, groups
 
 
+def _mixed(starred: DataFrame, groups: DataFrame, scratch: Scratch) -> DataFrame:
+    """Rows (block, id, hub, component) of blocks that still hold more than one component."""
+    told = starred.join(groups.select("id", "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    mixed = told.groupBy("block").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo <> _hi").select("block")
+    return scratch.save(told.join(mixed, "block"))
+
+
 def _near(pairs: DataFrame, info: DataFrame | None, near: Callable | None) -> DataFrame:
     if near is None:
         return pairs
