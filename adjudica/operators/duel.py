@@ -14,6 +14,8 @@ from ..functions.hashing import hash32
 
 #: Pairs of one duel never exceed this, so a table of them may be broadcast.
 MAX_SEQUENCES = 10_000
+#: Values of a bootstrap are broadcast up to this many rows (some 30 bytes each).
+MAX_BROADCAST = 500_000
 EARLY_STOP_FRACTION = 0.2
 EARLY_STOP_QUANTILE = 0.94
 
@@ -84,9 +86,13 @@ def bootstrap_means(values: DataFrame, replicates: int, seed: str, group: str |
     """Means of resamples of ``d``: draw k of replicate b takes row hash(seed, b, k) mod n.
 
     values: (group?, i, d) with i from 0 within the group. Draws are made by
-    ranges, not collected, and meet the values in an equi-join.
+    ranges, not collected, and meet the values in an equi-join; the values are
+    broadcast if they are counted to be MAX_BROADCAST rows at most, so that the
+    draws, many times as many, need no shuffle.
     """
     spark = values.sparkSession
+    values = values.persist()
+    hint = F.broadcast if values.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST else (lambda df: df)
     keys = [group] if group else []
     sizes = values.groupBy(*keys).agg(F.count("*").alias("n"))
     # One row for each group and replicate, each exploded into its n draws.
@@ -94,11 +100,12 @@ def bootstrap_means(values: DataFrame, replicates: int, seed: str, group: str |
     draws = sizes.crossJoin(b).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     text = F.concat_ws("|", F.lit(seed), F.col("b").cast("string"), F.col("k").cast("string"))
     draws = draws.withColumn("i", hash32(text) % F.col("n"))
-    return draws.join(values, [*keys, "i"]).groupBy(*keys, "b").agg(F.avg("d").alias("mean"))
+    return draws.join(hint(values), [*keys, "i"]).groupBy(*keys, "b").agg(F.avg("d").alias("mean"))
 
 
 def verdict(pairs: DataFrame, replicates: int = 1000, alpha: float = 0.001, delta: float = 0.0015, seed: str = "0") -> DataFrame:
     """One row: mu_hat, the alpha-quantile of resampled means, and whether it is above delta (strictly)."""
+    pairs = pairs.persist()  # read by the draws and by the overall means
     d = numbered(pairs.select("seq_idx", advantage().alias("d")), "seq_idx").drop("seq_idx")
     lcb = bootstrap_means(d, replicates, seed).agg(F.percentile("mean", F.lit(alpha)).alias("lcb"))
     overall = pairs.agg(
