@@ -113,16 +113,21 @@ def mix_sources(documents: DataFrame) -> DataFrame:
 
 def take(documents: DataFrame) -> DataFrame:
     """The mix itself: each document as often as it is drawn, columns as they came."""
-    mix = mix_sources(documents).where("copies > 0")
-    # Rows of one id and source are drawn together: their copies are dealt out by size.
-    drawn = mix.groupBy("doc_id", "source", "size").agg(F.sort_array(F.collect_list("copies"), asc=False).alias("__copies"))
+    scratch = Scratch(documents.sparkSession, "mixing")
+    # Rows of one id, source and size are drawn together; their copies are dealt out by text.
+    drawn = mix_sources(documents).groupBy("doc_id", "source", "size").agg(F.sort_array(F.collect_list("copies"), asc=False).alias("__copies"))
+    drawn = scratch.save(drawn.where(F.get("__copies", F.lit(0)) > 0))
     drawn = drawn.select(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("size").alias("__n"), "__copies")
     keyed = documents.withColumn("__words", word_count(F.col("text")))
     same = (
         F.col("doc_id").eqNullSafe(F.col("__d")) & F.col("source").eqNullSafe(F.col("__s")) & (F.col("__words") == F.col("__n"))
     )
-    joined = keyed.join(drawn, same)
-    nth = F.row_number().over(W.partitionBy("doc_id", "source", "__words").orderBy(F.xxhash64("text")))
-    copies = F.coalesce(F.get("__copies", nth - 1), F.lit(0))
-    repeated = joined.withColumn("__times", copies).where("__times > 0")
-    return repeated.withColumn("__time", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int")))).select(*documents.columns)
+    alone = F.size("__copies") == 1
+    times = keyed.join(drawn.where(alone), same).withColumn("__times", F.get("__copies", F.lit(0)))
+    if not drawn.where(~alone).isEmpty():
+        # Only repeated rows need to be numbered; the texts of all others are not sorted.
+        several = keyed.join(drawn.where(~alone), same)
+        nth = F.row_number().over(W.partitionBy("doc_id", "source", "__words").orderBy(F.xxhash64("text")))
+        times = times.unionByName(several.withColumn("__times", F.coalesce(F.get("__copies", nth - 1), F.lit(0))))
+    times = times.where("__times > 0")
+    return times.withColumn("__time", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int")))).select(*documents.columns)
