@@ -16,6 +16,7 @@ and pointer jumping, each round a scratch table in the shared folder.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -58,7 +59,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def link_blocks(
-    members: DataFrame,
+    members: DataFrame | list[DataFrame],
     verify: Callable[[DataFrame], DataFrame],
     scratch: Scratch,
     info: DataFrame | None = None,
@@ -67,7 +68,8 @@ def link_blocks(
 ) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) found and components (id, component) of the linked ids.
 
-    members: (block, id), one row per id and block. verify: takes distinct pairs
+    members: (block, id), one row per id and block; in a list, each table has blocks of
+    its own and is shuffled by itself. verify: takes distinct pairs
     (a, b) and returns the linked ones. info: (id, columns) that ``near`` reads;
     near: a cheap necessary condition on two accessors of those columns. describe
     makes info, for the later comparisons only, from the ids (id) that they concern;
@@ -76,14 +78,16 @@ def link_blocks(
     A block's hub is its member with most rows beside it over all its blocks: one
     in the middle of a group links more of it than one at its edge.
     """
-    spark = members.sparkSession
-    counts = members.groupBy("block").agg(F.count("*").alias("n")).where("n > 1")
-    shared = scratch.save(members.join(counts, "block"))
-    release_shuffles(spark)
+    spark, parts = scratch.spark, []
+    for part in [members] if isinstance(members, DataFrame) else members:
+        counts = part.groupBy("block").agg(F.count("*").alias("n")).where("n > 1")
+        parts.append(scratch.save(part.join(counts, "block")))
+        release_shuffles(spark)
+    shared = reduce(DataFrame.unionByName, parts)
     beside = shared.groupBy("id").agg(F.sum("n").alias("beside"))
     hubs = shared.select("block", "id").join(beside, "id").groupBy("block").agg(F.max_by("id", "beside").alias("hub"))
     starred = scratch.save(shared.select("block", "id").join(hubs, "block"))
-    scratch.free(shared)
+    scratch.free(*parts)
     star = starred.where("id <> hub").select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct()
     links = scratch.save(verify(star if describe else _near(star, info, near)))
     groups = components(links, scratch)

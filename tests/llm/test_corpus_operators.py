@@ -159,6 +159,36 @@ def test_line_dedup_edges(spark):
     assert sorted(r.n_removed for r in linededup.dedup_lines(long).collect()) == [0, 1]
 
 
+def test_line_dedup_recall_of_similar_lines(spark):
+    """One changed letter or word: found wherever the edit similarity alone says so, no SimHash asked."""
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnoprstuvw"), rng.integers(3, 9)))
+    pairs = []
+    for n in (5, 10, 20, 50):
+        while sum(m == n for m, *_ in pairs) < 150:
+            words = [word() for _ in range(n)]
+            other = list(words)
+            i = rng.integers(n)
+            other[i] = word() if len(pairs) % 2 else other[i][:-1] + "z"
+            a, b = " ".join(words), " ".join(other)
+            if linededup.edit_distance(a, b) <= 0.15 * max(len(a), len(b)):
+                pairs.append((n, a, b))
+    docs = documents(spark, [x for p in pairs for x in p[1:]])
+    removed = {r.doc_id for r in linededup.dedup_lines(docs).where("n_removed = 1").collect()}
+    assert not {i for i in removed if i % 2 == 0}
+    for n in (5, 10, 20, 50):
+        assert sum(2 * i + 1 in removed for i, p in enumerate(pairs) if p[0] == n) >= 0.9 * 150
+
+
+def test_line_sketches_do_not_depend_on_company(monkeypatch):
+    forms = [b"a", b"some line of words", bytes(RNG.integers(97, 123, 3000, dtype=np.uint8))]
+    sims, keys = linededup.sketches(forms)
+    monkeypatch.setattr(linededup, "PIECE", 700)
+    for i, form in enumerate(forms):
+        sim, key = linededup.sketches([form])
+        assert sim[0] == sims[i] and (key[:, 0] == keys[:, i]).all()
+
+
 def test_edit_distance_of_random_strings():
     for _ in range(300):
         a, b = ("".join(RNG.choice(list("abc"), RNG.integers(0, 12))) for _ in range(2))
