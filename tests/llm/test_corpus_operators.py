@@ -180,6 +180,14 @@ def test_line_dedup_recall_of_similar_lines(spark):
         assert sum(2 * i + 1 in removed for i, p in enumerate(pairs) if p[0] == n) >= 0.9 * 150
 
 
+def test_line_dedup_of_short_and_unspaced_lines(spark):
+    chinese = "这是一个没有空格的很长的段落它在两个文档中完全相同"
+    address = "https://example.org/" + "QUJDREVG" * 9
+    docs = documents(spark, [f"Share on Facebook\n{chinese}\n--\nA", f"share on facebook!\n{address}\n--", f"{chinese}\n{address}\na\nB\n "])
+    rows = {r.doc_id: r.text for r in linededup.dedup_lines(docs).collect()}
+    assert rows == {0: f"Share on Facebook\n{chinese}\n--\nA", 1: f"{address}\n--", 2: "B\n "}
+
+
 def test_line_sketches_do_not_depend_on_company(monkeypatch):
     forms = [b"a", b"some line of words", bytes(RNG.integers(97, 123, 3000, dtype=np.uint8))]
     sims, keys = linededup.sketches(forms)
