@@ -82,6 +82,25 @@ def test_pii_message_passing_agrees_with_enumeration():
     assert (pii.infer(unary, [(pairs, w)], rounds=40) == best).all()
 
 
+@pytest.mark.parametrize("n", [50, 1000])
+def test_pii_all_repeats_share_a_label(n):
+    """At production defaults, a credential's last bare repeat is labelled as its first."""
+    texts = [f'x password="ab12cd34ef{i}" y and plain words 12 of them ab12cd34ef{i} end' for i in range(30)] + ["room 12 of 40, year 1999"] * 30
+    texts += [f"see 99ff88ee77{i} here, 99ff88ee77{i} there" for i in range(60)]
+    weights = pii.train(texts)
+    bare = ("w " * 50 + "then 77aa88bb99cc ") * n
+    (_, spans), (_, plain) = pii.label(["key = 77aa88bb99cc far away " + bare, bare], weights)
+    assert [k for _, k, _ in spans] == [4] * (n + 1)
+    assert plain == []
+
+
+def test_pii_messages_pass_along_a_whole_chain():
+    unary = np.zeros((60, 3))
+    unary[0, 2] = 4.0
+    pairs = [(i, i + 1) for i in range(59)]
+    assert (pii.infer(unary, [(pairs, np.eye(3) * 4.0)]) == 2).all()
+
+
 def test_pii_empty_table_and_extra_columns(spark):
     assert pii.find_personal_data(documents(spark, [])).count() == 0
     odd = documents(spark, ["a@b.c"] * 2).withColumn("spans", F.lit(1)).withColumn("base_sha256", F.lit(2)).withColumn("lang", F.lit(None))
