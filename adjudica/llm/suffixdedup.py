@@ -123,6 +123,10 @@ def ranked(documents: DataFrame) -> DataFrame:
     return documents.select("text_hash", "data").mapInArrow(scan, "rank long, text_hash long, place long")
 
 
+#: Rows of one rank that wait for their neighbours at most.
+HELD = 100_000
+
+
 def drop_unique(ranks: DataFrame, scratch: Scratch) -> DataFrame:
     """Rows whose rank occurs at several places, sorted by Spark; one row for each place.
 
@@ -135,6 +139,7 @@ def drop_unique(ranks: DataFrame, scratch: Scratch) -> DataFrame:
 
         held = None  # rows of the last rank so far
         begun = False
+        told = None  # a rank of which rows are out already
 
         def flush(rank, key, place, last):
             nonlocal begun
@@ -150,6 +155,8 @@ def drop_unique(ranks: DataFrame, scratch: Scratch) -> DataFrame:
                 begun = True
             if last and len(rank):
                 keep[-1] = True
+            if told is not None:
+                keep |= rank == told
             return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (rank, key, place)], ["rank", "text_hash", "place"])
 
         for batch in batches:
@@ -160,9 +167,9 @@ def drop_unique(ranks: DataFrame, scratch: Scratch) -> DataFrame:
                 rows = [np.concatenate([a, b]) for a, b in zip(held, rows, strict=True)]
             # The last two rows wait, so that each row is judged beside its neighbours.
             start = np.searchsorted(rows[0], rows[0][-1], "left")
-            if start == 0 and len(rows[0]) > 100_000:  # one rank fills the batch: all but the last row are repeats
+            if start == 0 and len(rows[0]) > HELD:  # one rank fills the batch: all but the last row are repeats
                 yield pa.RecordBatch.from_arrays([pa.array(x[:-1]) for x in rows], ["rank", "text_hash", "place"])
-                begun, held = True, [x[-1:] for x in rows]
+                begun, told, held = True, rows[0][-1], [x[-1:] for x in rows]
                 continue
             if start:
                 yield flush(*[x[:start] for x in rows], False)

@@ -340,6 +340,22 @@ def test_suffix_dedup_equals_brute_force(spark):
         assert (rows[i].n_bytes, rows[i].n_removed, rows[i].n_spans, rows[i].kept_sha256) == w, i
 
 
+def test_suffix_dedup_keeps_the_last_row_of_a_long_rank(spark, monkeypatch):
+    """A rank that overflows what is held and ends with its Arrow batch keeps all its places."""
+    monkeypatch.setattr(suffixdedup, "HELD", 3)
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, partitions = spark.conf.get(batch), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set(batch, 5)
+    spark.conf.set("spark.sql.shuffle.partitions", 2)
+    try:
+        rows = [(0, 1, p) for p in range(5)] + [(r, 1, 10 * r) for r in range(1, 4)] + [(9, 1, p) for p in range(200, 230)]
+        kept = suffixdedup.drop_unique(spark.createDataFrame(rows, "rank long, text_hash long, place long"), Scratch(spark, "t")).collect()
+    finally:
+        spark.conf.set(batch, before)
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    assert {r.place for r in kept if r["rank"] == 0} == set(range(5))
+
+
 def test_suffix_dedup_blocks_and_edges(spark, monkeypatch):
     assert suffixdedup.report_repeats(documents(spark, [])).count() == 0
     data = RNG.integers(0, 256, 5000, dtype=np.uint8)
