@@ -55,13 +55,17 @@ class Scratch:
 
     A table outlives the executors that wrote it, so a lost executor costs a task
     retry and not the chain before it. ``free`` removes tables that nothing reads
-    any more; what is left goes when the driver ends.
+    any more and ``close`` all of them; what is left goes when the driver ends.
     """
 
+    #: Scratch folders that still hold tables.
+    opened: list[Scratch] = []
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
+        Scratch.opened.append(self)
         atexit.register(self._remove, self.root)
 
     def save(self, df: DataFrame) -> DataFrame:
@@ -77,6 +81,11 @@ class Scratch:
             if t is not None and hasattr(t, "_scratch_path"):
                 self._remove(t._scratch_path)
 
+    def close(self) -> None:
+        self._remove(self.root)
+        if self in Scratch.opened:
+            Scratch.opened.remove(self)
+
     def _remove(self, path: str) -> None:
         try:
             p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -85,6 +94,16 @@ class Scratch:
             pass
 
 
+def sweep(docs: DataFrame, *keep: Scratch) -> None:
+    """Close the scratch folders that ``docs`` doesn't read, and let finished shuffles go."""
+    read = docs.inputFiles()
+    for s in list(Scratch.opened):
+        folder = s.root.rsplit("/", 1)[-1]
+        if s not in keep and not any(f"/{folder}/" in f for f in read):
+            s.close()
+    release_shuffles(docs.sparkSession)
+
+
 def release_shuffles(spark: SparkSession) -> None:
     """Let the context cleaner drop shuffle files of finished jobs now.
 

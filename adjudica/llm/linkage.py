@@ -1,16 +1,19 @@
 """Connected groups from blocks of rows, without all pairs within a block.
 
 Rows that share a block key may be linked; a verify function says which pairs
-are. Each block is first compared with one hub only, a central row. Rows
-known to be connected need no further comparison with each other, so only blocks
-that still hold rows of different components are looked at again, and there only
-pairs of different components are compared. That gives the same groups as all
-pairs of all blocks, while a block of n linked rows costs n - 1 comparisons.
+are. Each block is first compared with one hub only, a central row. Rows known to
+be connected need no further comparison with each other, so only blocks that
+still hold rows of different components are looked at again. There the row that
+shares most with others is a second hub, and only pairs of different components
+that pass an exact bound are compared, once each, however many blocks they share.
+The groups are those of all pairs of all blocks, while a block of n linked rows
+costs n - 1 comparisons.
 
 Blocks are counted and their hubs found by aggregates with partial sums, and
 members meet their hub in an equi-join, which adaptive execution splits where a
 block is hot. Components come from repeated hooking to the smallest neighbour
-and pointer jumping, each round a scratch table in the shared folder.
+and pointer jumping, each round a scratch table in the shared folder that goes
+when the next one is written.
 """
 
 from __future__ import annotations
@@ -33,14 +36,16 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         # Every id hooks to its smallest neighbour, if that is smaller than itself.
         ends = left.select("a", "b").union(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         up = scratch.save(ends.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("to")).withColumnRenamed("a", "id"))
-        while True:  # pointer jumping to the roots
+        moving = True
+        while moving:  # pointer jumping to the roots, two jumps a table
+            over = up.select(F.col("id").alias("via"), F.col("to").alias("next"))
+            once = up.join(over, F.col("to") == F.col("via")).select("id", "to", "next")
             over = up.select(F.col("id").alias("via"), F.col("to").alias("root"))
-            jumped = scratch.save(up.join(over, up["to"] == over["via"]).select("id", F.col("root").alias("to"), (F.col("root") != F.col("to")).alias("moved")))
+            twice = once.join(over, F.col("next") == F.col("via")).select("id", F.col("root").alias("to"), (F.col("root") != F.col("next")).alias("moved"))
+            jumped = scratch.save(twice)
             moving = not jumped.where("moved").isEmpty()
             scratch.free(up)
             up = jumped
-            if not moving:
-                break
         up_a = up.select(F.col("id").alias("a"), F.col("to").alias("ra"))
         up_b = up.select(F.col("id").alias("b"), F.col("to").alias("rb"))
         rest = left.join(up_a, "a").join(up_b, "b").where("ra <> rb")
@@ -55,6 +60,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         left, labels = rest, new
     if labels is None:
         return left.select(F.col("a").alias("id"), F.col("b").alias("component"))
+    scratch.free(left)
     return labels
 
 
@@ -62,20 +68,26 @@ def link_blocks(
     members: DataFrame | list[DataFrame],
     verify: Callable[[DataFrame], DataFrame],
     scratch: Scratch,
-    info: DataFrame | None = None,
     near: Callable | None = None,
+    prepare: Callable[[DataFrame], None] | None = None,
     describe: Callable[[DataFrame], DataFrame] | None = None,
-) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b) found and components (id, component) of the linked ids.
-
-    members: (block, id), one row per id and block; in a list, each table has blocks of
-    its own and is shuffled by itself. verify: takes distinct pairs
-    (a, b) and returns the linked ones. info: (id, columns) that ``near`` reads;
-    near: a cheap necessary condition on two accessors of those columns. describe
-    makes info, for the later comparisons only, from the ids (id) that they concern;
-    its column ``met`` tells how much a row shares with others.
-
-    A block's hub is its member with most rows beside it over all its blocks: one
+    closer: Callable | None = None,
+    describe_late: Callable[[], DataFrame] | None = None,
+) -> DataFrame:
+    """Components (id, component) of the ids that have a link.
+
+    members: (block, id), one row per id and block; in a list, each table has blocks
+    of its own and is shuffled by itself. verify takes distinct pairs (a, b) and
+    returns (a, b, linked), and ``both``, what the two share, if describe is given.
+    prepare is told the ids (id) that may be verified, before the first pair is. near is a
+    cheap necessary condition on two accessors of columns; those are by id in what
+    describe or describe_late returns. describe makes them from the ids (id) that the
+    first star leaves open, for a second star; its column ``met`` tells how much a row shares with others at most, and rows
+    that ``near`` keeps even from themselves link with nothing. closer is a further
+    necessary condition that also reads ``core``, what a row shares with its block's
+    second hub.
+
+    A block's first hub is its member with most rows beside it over all its blocks: one
     in the middle of a group links more of it than one at its edge.
     """
     spark, parts = scratch.spark, []
@@ -84,58 +96,68 @@ def link_blocks(
         parts.append(scratch.save(part.join(counts, "block")))
         release_shuffles(spark)
     shared = reduce(DataFrame.unionByName, parts)
+    if prepare is not None:
+        prepare(shared.select("id").distinct())
     beside = shared.groupBy("id").agg(F.sum("n").alias("beside"))
     hubs = shared.select("block", "id").join(beside, "id").groupBy("block").agg(F.max_by("id", "beside").alias("hub"))
     starred = scratch.save(shared.select("block", "id").join(hubs, "block"))
     scratch.free(*parts)
-    star = starred.where("id <> hub").select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct()
-    links = scratch.save(verify(star if describe else _near(star, info, near)))
+    links = scratch.save(verify(_pairs(starred.where("id <> hub"), "hub")).where("linked").select("a", "b"))
     groups = components(links, scratch)
     release_shuffles(spark)
     rest = _mixed(starred, groups, scratch)
+    scratch.free(starred)
+    if rest.isEmpty():
+        scratch.free(links, rest)
+        return groups
+    hub_columns = ["hub"]
+    info = describe_late() if describe_late is not None else None
     if describe is not None:
         info = describe(rest.select("id").distinct())
-        # A second star: the row that shares most with others is nearest to the middle of its group.
-        seen = rest.join(info, "id")
-        middle = seen.groupBy("block").agg(F.max_by("id", "met").alias("middle"), F.max_by("component", "met").alias("own"))
-        star = rest.select("block", "id", "component").join(middle, "block").where("component <> own")
-        star = star.select(F.least("middle", "id").alias("a"), F.greatest("middle", "id").alias("b")).distinct()
-        links = scratch.save(links.unionByName(verify(_near(star, info, near))))
-        scratch.free(groups)
-        groups = components(links, scratch)
-        rest = _mixed(starred, groups, scratch)
+        own = rest.join(info, "id").where(near(F.col, F.col))
+        middle = own.groupBy("block").agg(F.max_by("id", "met").alias("middle"))
+        starred = scratch.save(own.select("block", "id", "hub").join(middle, "block"))
+        told = scratch.save(verify(_pairs(starred.where("id <> middle"), "middle")))
+        more = scratch.save(links.unionByName(told.where("linked").select("a", "b")))
+        scratch.free(links, groups, rest)
+        links, groups = more, components(more, scratch)
+        side = told.select(F.col("a").alias("_a"), F.col("b").alias("_b"), F.col("both").alias("core"))
+        least, most = F.least("middle", "id"), F.greatest("middle", "id")
+        cored = starred.join(side, (least == F.col("_a")) & (most == F.col("_b")), "left").select("block", "id", "hub", "middle", "core")
+        rest = _mixed(cored, groups, scratch)
+        scratch.free(told, starred)
+        hub_columns.append("middle")
         release_shuffles(spark)
     if info is not None:
         rest = rest.join(info, "id")
-    columns = [c for c in rest.columns if c not in ("block", "id", "component", "hub")]
-    x = rest.select("block", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("hub").alias("hub_a"), *[F.col(c).alias(f"a_{c}") for c in columns])
+    # Each row knows all its open blocks, so that a pair is met in the first one that it shares.
+    rest = rest.join(rest.groupBy("id").agg(F.collect_list("block").alias("in")), "id")
+    columns = [c for c in rest.columns if c not in ("block", "id", "component")]
+    x = rest.select("block", F.col("id").alias("a"), F.col("component").alias("ca"), *[F.col(c).alias(f"a_{c}") for c in columns])
     y = rest.select("block", F.col("id").alias("b"), F.col("component").alias("cb"), *[F.col(c).alias(f"b_{c}") for c in columns])
-    # A hub has been compared with its whole block already.
-    other = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.col("a") != F.col("hub_a")) & (F.col("b") != F.col("hub_a"))
-    if near is not None:
-        other = other & near(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}"))
-    more = x.join(y, (x["block"] == y["block"]) & other).select("a", "b").distinct()
-    late = scratch.save(verify(more))
+    other = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))
+    for h in hub_columns:  # a hub has been compared with its whole block already
+        other = other & (F.col("a") != F.col(f"a_{h}")) & (F.col("b") != F.col(f"a_{h}"))
+    for bound in (near, closer if "core" in columns else None):
+        if bound is not None:
+            other = other & bound(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}"))
+    other = other & (F.array_min(F.array_intersect("a_in", "b_in")) == x["block"])
+    late = scratch.save(verify(x.join(y, (x["block"] == y["block"]) & other).select("a", "b")).where("linked").select("a", "b"))
     if not late.isEmpty():
-        links = links.unionByName(late)
         scratch.free(groups)
-        groups = components(links, scratch)
-    scratch.free(starred)
+        groups = components(links.unionByName(late), scratch)
+    scratch.free(late, links, rest)
     release_shuffles(spark)
-    return links, groups
+    return groups
+
+
+def _pairs(starred: DataFrame, hub: str) -> DataFrame:
+    return starred.select(F.least(hub, "id").alias("a"), F.greatest(hub, "id").alias("b")).distinct()
 
 
 def _mixed(starred: DataFrame, groups: DataFrame, scratch: Scratch) -> DataFrame:
-    """Rows (block, id, hub, component) of blocks that still hold more than one component."""
+    """Rows of blocks that still hold more than one component, with their component."""
     told = starred.join(groups.select("id", "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = told.groupBy("block").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo <> _hi").select("block")
     return scratch.save(told.join(mixed, "block"))
 
-
-def _near(pairs: DataFrame, info: DataFrame | None, near: Callable | None) -> DataFrame:
-    if near is None:
-        return pairs
-    for side in "ab":
-        own = info.select(*[F.col(c).alias(side if c == "id" else f"{side}_{c}") for c in info.columns])
-        pairs = pairs.join(own, side)
-    return pairs.where(near(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}"))).select("a", "b")

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, ship
+from .common import Scratch, release_shuffles, ship
 from .linkage import link_blocks
 
 ship(__name__)
@@ -64,19 +64,20 @@ def shingles(text: str | None, hashes: WordHash) -> np.ndarray:
     return np.unique(out)
 
 
-MULTIPLIERS = np.random.default_rng(20240601).integers(0, 2**31, PERMUTATIONS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_RANDOM = np.random.default_rng(20240601)
+MULTIPLIERS = _RANDOM.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+ADDENDS = _RANDOM.integers(0, 2**64, PERMUTATIONS, dtype=np.uint64)
 
 
 def bands(values: np.ndarray) -> np.ndarray:
-    """Band keys of a set's min-max signature; odd multipliers permute the 32-bit range."""
-    short = (values >> np.uint64(16)).astype(np.uint32)
-    low = np.full(PERMUTATIONS, 2**32 - 1, np.uint32)
-    high = np.zeros(PERMUTATIONS, np.uint32)
-    for i in range(0, len(short), 2048):
-        product = short[i : i + 2048, None] * MULTIPLIERS
+    """Band keys of a set's min-max signature; x -> a * x + b with odd a permutes the 64-bit range."""
+    low = np.full(PERMUTATIONS, 2**64 - 1, np.uint64)
+    high = np.zeros(PERMUTATIONS, np.uint64)
+    for i in range(0, len(values), 1024):
+        product = values[i : i + 1024, None] * MULTIPLIERS + ADDENDS
         np.minimum(low, product.min(0), out=low)
         np.maximum(high, product.max(0), out=high)
-    rows = np.concatenate([low, high]).reshape(-1, ROWS).astype(np.uint64)
+    rows = np.concatenate([low, high]).reshape(-1, ROWS)
     key = np.arange(1, len(rows) + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)
     for i in range(ROWS):
         key = (key ^ (key >> np.uint64(31)) ^ rows[:, i]) * np.uint64(0x9FB21C651E98DF25)
@@ -110,28 +111,8 @@ def signatures(documents: DataFrame) -> DataFrame:
     return rows.mapInArrow(scan, schema)
 
 
-def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Of pairs (a, b), those whose full sets are similar enough. texts: (id, text)."""
-
-    def scan(batches):
-        hashes = WordHash()
-        last: tuple = (None, None)
-        for pdf in batches:
-            keep = []
-            for a, ta, tb in zip(pdf["a"], pdf["text_a"], pdf["text_b"], strict=True):
-                if last[0] != a:
-                    last = (a, shingles(ta, hashes))
-                x, y = last[1], shingles(tb, hashes)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
-            yield pdf.loc[keep, ["a", "b"]]
-
-    a, b = (texts.select(F.col("id").alias(s), F.col("text").alias(f"text_{s}")) for s in "ab")
-    return pairs.join(b, "b").join(a, "a").mapInPandas(scan, "a long, b long").distinct()
-
-
-def exploded(texts: DataFrame) -> DataFrame:
-    """(id, shingle) of whole texts."""
+def shingle_sets(texts: DataFrame) -> DataFrame:
+    """(id, shingles) of whole texts (id, text)."""
 
     def scan(batches):
         import pyarrow as pa
@@ -140,9 +121,20 @@ def exploded(texts: DataFrame) -> DataFrame:
         for batch in batches:
             for key, text in zip(batch.column(0), batch.column(1), strict=True):
                 values = shingles(text.as_py(), hashes).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), key.as_py()), pa.int64()), pa.array(values)], ["id", "shingle"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([key.as_py()], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values))], ["id", "shingles"]
+                )
+
+    return texts.mapInArrow(scan, "id long, shingles array<long>")
+
 
-    return texts.mapInArrow(scan, "id long, shingle long")
+def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) with ``both``, the size of their intersection, and whether they are linked. sets: (id, shingles)."""
+    for side in "ab":
+        pairs = pairs.join(sets.select(F.col("id").alias(side), F.col("shingles").alias(f"set_{side}")), side)
+    both = F.size(F.array_intersect("set_a", "set_b")).cast("long")
+    told = pairs.select("a", "b", both.alias("both"), (F.size("set_a") + F.size("set_b")).cast("long").alias("sizes"))
+    return told.select("a", "b", "both", (100 * F.col("both") >= PERCENT * (F.col("sizes") - F.col("both"))).alias("linked"))
 
 
 def may_link(x, y):
@@ -153,48 +145,64 @@ def may_link(x, y):
     return F.least(x("met"), y("met")) * (100 + PERCENT) >= (x("n") + y("n")) * PERCENT
 
 
+def may_link_beside(x, y):
+    """The same bound taken apart: inside the set of the block's hub, and outside of it.
+
+    The hub itself has no core and has been compared with all.
+    """
+    outside = F.least(x("met") - x("core"), y("met") - y("core"))
+    return (F.least(x("core"), y("core")) + outside) * (100 + PERCENT) >= (x("n") + y("n")) * PERCENT
+
+
 def near_duplicates(documents: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id (smallest id reachable) and kept, for every row."""
     scratch = scratch or Scratch(documents.sparkSession, "neardup")
-    all_rows = scratch.save(signatures(documents))
-    rows = all_rows.where("set_id is not null")
+    signed = scratch.save(signatures(documents))
     far = 2**63 - 1
     order = F.coalesce("doc_id", F.lit(far))
-    classes = rows.select("set_id", order.alias("order"), "text_hash").groupBy("set_id")
+    classes = signed.where("set_id is not null").select("set_id", order.alias("order"), "text_hash").groupBy("set_id")
     classes = scratch.save(classes.agg(F.min("order").alias("first"), F.min_by("text_hash", "order").alias("text_hash")))
     # One row of each class carries its bands.
-    chosen = rows.withColumn("order", order).join(classes.select("set_id", F.col("first").alias("order"), "text_hash"), ["set_id", "order", "text_hash"])
+    chosen = signed.withColumn("order", order).join(classes.select("set_id", F.col("first").alias("order"), "text_hash"), ["set_id", "order", "text_hash"])
     members = chosen.select(F.col("set_id").alias("id"), F.explode("bands").alias("block")).distinct()
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        pairs = scratch.save(pairs)
-        needed = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-        needed = needed.join(classes, needed["id"] == classes["set_id"]).select("id", "first", F.col("text_hash").alias("key"))
-        docs = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(far)).alias("order"), F.xxhash64("text").alias("text_hash"), "text")
+    all_rows = scratch.save(signed.drop("bands"))
+    sets: list[DataFrame] = []
+
+    def prepare(ids: DataFrame) -> None:
+        """Sets of all classes that share a band, from whole texts, made once."""
+        scratch.free(signed)
+        needed = ids.join(classes, ids["id"] == classes["set_id"]).select("id", "first", F.col("text_hash").alias("key"))
+        docs = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(far)).alias("order"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
         # One plan at every size: a broadcast here would turn into a shuffle of the texts as pairs grow.
         texts = docs.join(needed.hint("merge"), (F.col("order") == F.col("first")) & (F.col("text_hash") == F.col("key"))).select("id", "text")
-        return confirm(pairs, scratch.save(texts))
+        made = scratch.save(shingle_sets(texts))
+        release_shuffles(scratch.spark)
+        # A repeated row of one id gives its set twice.
+        sets.append(made.dropDuplicates(["id"]) if made.count() != needed.count() else made)
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        return confirm(pairs, sets[0])
 
     def describe(ids: DataFrame) -> DataFrame:
         """(id, n, met): set size, and how many of its shingles another of these sets holds too."""
-        wanted = ids.join(classes, ids["id"] == classes["set_id"]).select("id", "first", F.col("text_hash").alias("key"))
-        docs = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(far)).alias("order"), F.xxhash64("text").alias("text_hash"), "text")
-        texts = docs.join(wanted.hint("merge"), (F.col("order") == F.col("first")) & (F.col("text_hash") == F.col("key"))).select("id", "text")
-        each = scratch.save(exploded(texts).distinct())
+        each = sets[0].join(ids, "id", "left_semi").select("id", F.explode("shingles").alias("shingle"))
         often = each.groupBy("shingle").agg(F.count("*").alias("m")).where("m > 1").select("shingle")
         met = each.join(often, "shingle").groupBy("id").agg(F.count("*").alias("met"))
-        sizes = each.groupBy("id").agg(F.count("*").alias("n"))
+        sizes = sets[0].join(ids, "id", "left_semi").select("id", F.size("shingles").cast("long").alias("n"))
         return scratch.save(sizes.join(met, "id", "left").select("id", "n", F.coalesce("met", F.lit(0).cast("long")).alias("met")))
 
-    _, groups = link_blocks(members, verify, scratch, near=may_link, describe=describe)
+    groups = link_blocks(members, verify, scratch, near=may_link, prepare=prepare, describe=describe, closer=may_link_beside)
     # Names of components, by class first: at most one row per class meets here.
     groups = groups.select(F.col("id").alias("set_id"), "component")
     named = classes.select("set_id", "first").join(groups, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     names = named.groupBy("component").agg(F.min("first").alias("name"))
     of_class = named.join(names, "component").select("set_id", F.when(F.col("name") != far, F.col("name")).alias("component_id"))
-    linked = rows.select("doc_id", "text_hash", "n_shingles", "set_id").join(of_class, "set_id").drop("set_id")
+    linked = all_rows.where("set_id is not null").join(of_class, "set_id").drop("set_id")
     alone = all_rows.where("set_id is null").select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id"))
-    return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    found = scratch.save(linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    scratch.free(all_rows, classes, groups, *sets)
+    release_shuffles(scratch.spark)
+    return found
 
 
 def drop_near_duplicates(documents: DataFrame) -> DataFrame:
