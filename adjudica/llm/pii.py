@@ -5,23 +5,28 @@ digit or an at-sign becomes a node of a conditional random field, as do the
 fixed spans, whose labels are clamped. Neighbouring nodes share a chain edge.
 Nodes with the same folded text, however far apart, share a skip edge (each
 occurrence with the next one, so a text with n repeats has n - 1 skip edges and
-never n squared). What the context of any occurrence shows, say ``password=``,
-counts as a feature of all occurrences of that string in the document, so that it
-does not fade over bare repeats, however many there are. Loopy sum-product
-passing over all documents of a batch runs until its messages settle.
-
-Weights are trained by pseudo-likelihood on ``SAMPLE_DOCS`` documents at most,
-picked by hash of the id; their labels come from the fixed patterns and from
-assignments to credential words.
+never n squared), and so do nodes of one stem, the same letters before the first
+digit. What the context of any occurrence shows, say ``password=``, counts for all
+occurrences of that string in the document, so that it does not fade over bare
+repeats, however many there are. Loopy sum-product passing over all documents of a
+batch runs until its messages settle.
+
+Weights of a string's own shape, of chain edges and of skip edges are trained by
+pseudo-likelihood on some ``SAMPLE_DOCS`` whole documents, drawn by a hash of the row,
+in one task. Labels to train on come from the fixed patterns and from assignments to
+credential words. Those words are no trained feature, as a label must not explain
+itself: in use, they add the fixed potential ``CUE_POTENTIAL``.
 
 Defined results: null or empty text gives no spans and the digest of the empty
-string; ties and repeated rows are scored alike, each row for itself; an empty
-table gives an empty result; extra columns are ignored.
+string; texts are read whole, at a cost linear in their length; ties and repeated
+rows are scored alike, each row for itself; an empty table gives an empty result;
+extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 
 import numpy as np
@@ -33,9 +38,10 @@ from .common import ship
 
 ship(__name__)
 
-#: Bound of the training sample, in documents and in characters of each.
+#: Expected size of the training sample, in documents.
 SAMPLE_DOCS = 600
-SAMPLE_CHARS = 20_000
+#: Log-odds that an assignment to a credential word gives.
+CUE_POTENTIAL = 8.0
 
 #: A message that moves by less than this, in log units, rests.
 SETTLED = 1e-5
@@ -47,7 +53,7 @@ CREDENTIAL_WORDS = ["token", "password", "passwd", "secret", "apikey", "api_key"
 
 SCHEMA = (
     "doc_id long, n_email long, n_ip long, n_card long, n_phone long, "
-    "base_sha256 string, spans string"
+    "base_sha256 string, spans string, n_secret long, n_spans long"
 )
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -56,7 +62,9 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-NODE = re.compile(r"[^\s\"'=<>,;(){}\[\]]*[0-9@][^\s\"'=<>,;(){}\[\]]*")
+#: Runs between separators; those with a digit or an at-sign become nodes.
+RUN = re.compile(r"[^\s\"'=<>,;(){}\[\]]+")
+MARKED = re.compile(r"[0-9@]")
 CUE = re.compile(r"([A-Za-z_]+)[\s\"'=:]{1,6}\Z")
 
 
@@ -106,8 +114,10 @@ def nodes(text: str, base: list[tuple[int, int, str]]):
     out = [(a, b, k + 1, text[a:b].lower(), ()) for a, k, b in base]
     taken = sorted((a, b) for a, _, b in base)
     i = 0
-    for m in NODE.finditer(text):
+    for m in RUN.finditer(text) if MARKED.search(text) else ():
         a, b = m.start(), m.end()
+        if not MARKED.search(text, a, b):
+            continue
         while b > a and text[b - 1] in ".:!?":
             b -= 1
         while i < len(taken) and taken[i][1] <= a:
@@ -124,30 +134,28 @@ def cue(text: str, a: int) -> tuple[str, bool]:
     return (m[1].lower() if m else "", "=" in before[-4:] or ":" in before[-4:])
 
 
-FEATURES = [
-    "bias", "at", "digits_only", "hex", "mixed", "dots", "long", "middle", "short",
-    "credential_word", "assigned", "credential_assigned", "quoted", "hex_long",
-]
+FEATURES = ["bias", "at", "digits_only", "hex", "mixed", "dots", "long", "middle", "short", "quoted", "hex_long"]
+HEX = frozenset("0123456789abcdef")
 
 
 def features(text: str, a: int, b: int) -> tuple:
+    """FEATURES of a string, and whether it is assigned to a credential word."""
     token = text[a:b]
     n, digits = b - a, sum(map(str.isdigit, token))
     letters = sum(map(str.isalpha, token))
-    hexa = n >= 8 and not set(token.lower()) - set("0123456789abcdef")
+    hexa = n >= 8 and not set(token.lower()) - HEX
     word, assigned = cue(text, a)
-    credential = word in CREDENTIAL_WORDS
     quoted = a > 0 and text[a - 1] in "\"'"
     return (
         1, "@" in token, digits == n, hexa, digits > 0 and letters > 0, token.count(".") >= 2,
-        n >= 16, 8 <= n < 16, n < 8, credential, assigned, credential and assigned, quoted,
-        hexa and n >= 16,
+        n >= 16, 8 <= n < 16, n < 8, quoted, hexa and n >= 16, word in CREDENTIAL_WORDS and assigned and n >= 8,
     )
 
 
-def weak_label(text: str, a: int, b: int) -> int:
-    word, assigned = cue(text, a)
-    return LABELS.index("secret") if word in CREDENTIAL_WORDS and assigned and b - a >= 8 else 0
+def stem(folded: str) -> str:
+    """Letters and signs before the first digit, if they are many enough to tell strings apart."""
+    m = MARKED.search(folded)
+    return folded[: m.start()] if m and m.start() >= 4 else ""
 
 
 def pooled(field: list[tuple]) -> list[tuple]:
@@ -163,12 +171,15 @@ def pooled(field: list[tuple]) -> list[tuple]:
 def edges(field: list[tuple], first: int) -> tuple[list, list]:
     """Chain and skip edges of one document's nodes, numbered from ``first``."""
     chain = [(first + i, first + i + 1) for i in range(len(field) - 1) if field[i + 1][0] - field[i][1] <= 40]
-    last: dict[str, int] = {}
+    last: dict[tuple[str, str], int] = {}
     skip = []
     for i, row in enumerate(field):
-        if row[3] in last:
-            skip.append((first + last[row[3]], first + i))
-        last[row[3]] = i
+        for key in (("same", row[3]), ("stem", stem(row[3]) if row[4] else "")):
+            before = last.get(key, -1) if key[1] else -1
+            # Neighbours in the chain, or the same string again, need no second edge.
+            if before >= 0 and (key[0] == "same" or field[before][3] != row[3]):
+                skip.append((first + before, first + i))
+            last[key] = i
     return chain, skip
 
 
@@ -177,13 +188,11 @@ def train(texts: list[str]) -> dict[str, np.ndarray]:
     k = len(LABELS)
     x, y, chains, skips = [], [], [], []
     for text in texts:
-        text = text[:SAMPLE_CHARS]
         field = pooled(nodes(text, base_spans(text)))
         c, s = edges(field, len(x))
-        strings = {row[3]: weak_label(text, row[0], row[1]) for row in field if weak_label(text, row[0], row[1])}
-        for a, b, clamped, folded, f in field:
-            x.append(f if f else features(text, a, b))
-            y.append(clamped or strings.get(folded, 0))
+        for a, b, clamped, _, f in field:
+            x.append((f or features(text, a, b))[:-1])
+            y.append(clamped or (LABELS.index("secret") if f[-1] else 0))
         chains += c
         skips += s
     weights = {"x": np.zeros((len(FEATURES), k)), "chain": np.zeros((k, k)), "skip": np.zeros((k, k))}
@@ -278,10 +287,15 @@ def label(texts: list[str], weights: dict[str, np.ndarray]):
         chains += c
         skips += s
         first += len(field)
-        unary += [row[4] if row[4] else (0,) * len(FEATURES) for row in field]
+        unary += [row[4] if row[4] else (0,) * (len(FEATURES) + 1) for row in field]
     if first:
         clamped = np.array([row[2] for field in fields for row in field])
-        z = np.array(unary, float) @ weights["x"]
+        seen = np.array(unary, float)
+        z = seen[:, :-1] @ weights["x"]
+        z[:, LABELS.index("secret")] += CUE_POTENTIAL * seen[:, -1]
+        # The fixed patterns know every valid number: what they left may be an unusual address or a secret.
+        z[:, [LABELS.index(x) for x in ("ip", "card", "phone")]] = -50.0
+        z[seen[:, FEATURES.index("at")] == 0, LABELS.index("email")] = -50.0
         fixed = clamped > 0
         z[fixed] = np.where(np.arange(k) == clamped[fixed][:, None], 0.0, -50.0)
         labels = infer(z, [(chains, weights["chain"]), (skips, weights["skip"])])
@@ -314,20 +328,31 @@ def find_personal_data(documents: DataFrame, weights: dict[str, np.ndarray] | No
                 for doc_id, (base, spans) in zip(part["doc_id"], label(texts, weights), strict=True):
                     n = [sum(k == kind for _, k, _ in base) for kind in range(4)]
                     digest = hashlib.sha256(joined(base).encode()).hexdigest()
-                    rows.append((None if pd.isna(doc_id) else int(doc_id), *n, digest, joined(spans)))
-            out = pd.DataFrame(rows, columns=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
+                    rows.append((None if pd.isna(doc_id) else int(doc_id), *n, digest, joined(spans), sum(k == 4 for _, k, _ in spans), len(spans)))
+            names = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_secret", "n_spans"]
+            out = pd.DataFrame(rows, columns=names)
             yield out.astype({"doc_id": "Int64"})
 
     return docs.mapInPandas(scan, SCHEMA)
 
 
 def fit(documents: DataFrame) -> dict[str, np.ndarray]:
-    """Train the weights on at most SAMPLE_DOCS documents, the first by hash of the id."""
-    rows = (
-        documents.where(F.col("text").rlike("[0-9@]"))
-        .select(F.xxhash64("doc_id").alias("h"), F.left("text", F.lit(SAMPLE_CHARS)).alias("text"))
-        .orderBy("h", "text")
-        .limit(SAMPLE_DOCS)
-        .collect()
-    )
-    return train([r["text"] for r in rows])
+    """Train the weights on some SAMPLE_DOCS documents with a digit or an at-sign.
+
+    Rows are drawn one by one by hash; only the drawn ones travel, to a single task,
+    and the driver gets the weights alone.
+    """
+    marked = documents.where(F.col("text").rlike("[0-9@]"))
+    n = marked.count()
+    reach = min(2**62, math.ceil(2**62 * SAMPLE_DOCS / max(n, 1)))
+    drawn = marked.where(F.xxhash64("doc_id", "text").bitwiseAND(F.lit(2**62 - 1)) < reach)
+
+    def scan(batches):
+        texts = sorted(t for pdf in batches for t in pdf["text"])
+        for name, w in train(texts).items():
+            yield pd.DataFrame({"name": name, "row": range(len(w)), "values": [list(map(float, r)) for r in w]})
+
+    rows = drawn.select(F.col("text").cast("string").alias("text")).repartition(1).mapInPandas(scan, "name string, row int, values array<double>").collect()
+    if not rows:
+        return train([])
+    return {name: np.array([r["values"] for r in sorted((r for r in rows if r["name"] == name), key=lambda r: r["row"])]) for name in ("x", "chain", "skip")}

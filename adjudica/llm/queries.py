@@ -53,7 +53,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.score_toxicity(documents.select("doc_id", "text"), lexicon)
     return scored.select(
         "doc_id",
-        (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out"),
+        F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False)).alias("held_out"),
         F.col("toxicity_score").alias("score"),
         (F.col("toxicity_score") >= 0.5).cast("int").alias("predicted"),
     )

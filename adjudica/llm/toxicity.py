@@ -8,12 +8,16 @@ of the matched weight, divided by a power of the number of words.
 
 Learning is distributed: document frequencies of every folded word beginning are
 counted over all labelled rows with Spark aggregates, and entries are chosen by
-smoothed log odds. Only the chosen entries, ``MAX_ENTRIES`` at most, reach the
-driver. The logistic curve is fitted on ``SAMPLE_DOCS`` labelled rows at most.
+smoothed log odds. An entry occurs in ``MIN_SHARE`` of the toxic rows at least, so the
+number of entries is at most the mean number of word beginnings in a text divided by
+that share, however many rows there are; only they reach the driver. The logistic
+curve is fitted on some ``SAMPLE_DOCS`` labelled rows, drawn by a hash of the row.
+Labelled texts are shuffled once and written, as three actions read them.
 
 Defined results: null and empty texts score the curve's floor; texts of any
-length are matched whole, in one pass; repeated rows score alike; without labels
-the lexicon is empty and every score is the floor; extra columns are ignored.
+length are matched whole, in one pass; repeated rows score alike; rows without a
+label are not learnt from, and repeated labels count each; without labels the
+lexicon is empty and every score is the floor; extra columns stay.
 """
 
 from __future__ import annotations
@@ -27,15 +31,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import Scratch, release_shuffles, ship
 
 ship(__name__)
 
-MAX_ENTRIES = 5_000
+#: More entries than this would not fit MIN_SHARE and texts of any usual length: an error, not a cut.
+MAX_ENTRIES = 1_000_000
+#: Expected size of the sample that the logistic curve is fitted on; its square root bounds the noise.
 SAMPLE_DOCS = 8_000
 #: Word beginnings of these lengths, and whole words, are candidates.
 PREFIXES = (4, 5, 6, 8)
 MIN_DOCS = 5
+MIN_SHARE = 0.001
 MIN_LOG_ODDS = 3.0
 #: The matched weight is divided by (words + 20) to this power.
 LENGTH_POWER = 0.25
@@ -148,7 +155,7 @@ def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def learn(labelled: DataFrame) -> Lexicon:
-    """A lexicon from rows (text, toxic): Spark counts, the driver keeps the chosen entries."""
+    """A lexicon from rows (text, toxic), doc_id beside them or not: Spark counts, the driver keeps the chosen entries."""
 
     def terms(batches):
         for pdf in batches:
@@ -160,27 +167,36 @@ def learn(labelled: DataFrame) -> Lexicon:
                     toxic += [y] * len(own)
                 yield pd.DataFrame({"term": words, "toxic": toxic})
 
-    rows = labelled.select("text", F.col("toxic").cast("int").alias("toxic")).where("toxic is not null and text is not null")
+    scratch = Scratch(labelled.sparkSession, "toxicity")
+    wanted = labelled.where("toxic is not null and text is not null")
+    rows = scratch.save(wanted.select(F.col("text").cast("string").alias("text"), F.col("toxic").cast("int").alias("toxic"), F.xxhash64(*[c for c in ("doc_id", "text") if c in labelled.columns]).alias("draw")))
+    release_shuffles(scratch.spark)
     size = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = size.get(1, 0), sum(v for k, v in size.items() if k != 1)
     lexicon = Lexicon()
     if not n1 or not n0:
+        scratch.close()
         return lexicon
     bad, good = F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0)), F.sum(F.when(F.col("toxic") == 1, 0).otherwise(1))
     odds = F.log((F.col("bad") + 0.5) / n1) - F.log((F.col("good") + 0.5) / n0)
     chosen = (
-        rows.mapInPandas(terms, "term string, toxic int")
+        rows.select("text", "toxic")
+        .mapInPandas(terms, "term string, toxic int")
         .groupBy("term")
         .agg(bad.alias("bad"), good.alias("good"))
-        .where(F.col("bad") >= MIN_DOCS)
+        .where(F.col("bad") >= max(MIN_DOCS, math.ceil(n1 * MIN_SHARE)))
         .withColumn("odds", odds)
         .where(F.col("odds") >= MIN_LOG_ODDS)
-        .orderBy(F.desc(F.col("odds") * F.sqrt("bad")), "term")
-        .limit(MAX_ENTRIES)
-        .collect()
+        .select("term", "odds")
     )
-    lexicon.weights = {r["term"]: float(r["odds"]) for r in chosen}
-    sample = rows.withColumn("h", F.xxhash64("text")).orderBy("h", "toxic").limit(SAMPLE_DOCS).select("text", "toxic")
+    chosen = scratch.save(chosen)
+    release_shuffles(scratch.spark)
+    if (n := chosen.count()) > MAX_ENTRIES:
+        raise ValueError(f"{n} lexicon entries; raise MIN_SHARE")
+    lexicon.weights = {r["term"]: float(r["odds"]) for r in chosen.orderBy("term").collect()}
+    # Each row is drawn by itself, whatever the others are: no sort of texts, no single task.
+    reach = min(2**62, math.ceil(2**62 * SAMPLE_DOCS / (n1 + n0)))
+    sample = rows.where(F.col("draw").bitwiseAND(F.lit(2**62 - 1)) < reach).select("text", "toxic")
     automaton_of = lexicon
 
     def densities(batches):
@@ -191,12 +207,14 @@ def learn(labelled: DataFrame) -> Lexicon:
     points = sample.mapInPandas(densities, "x double, y int").collect()
     x, y = np.array([p["x"] for p in points]), np.array([float(p["y"] == 1) for p in points])
     lexicon.slope, lexicon.offset = fit_curve(x, y)
+    scratch.close()
     return lexicon
 
 
-def score_toxicity(documents: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """documents with their score (0 to 1); one pass, no shuffle."""
-    schema = documents.select("*", F.lit(0.0).alias("toxicity_score")).schema
+def score_toxicity(documents: DataFrame, lexicon: Lexicon, name: str = "toxicity_score") -> DataFrame:
+    """documents with their score (0 to 1) in a column ``name``, which replaces one of that name; one pass, no shuffle."""
+    documents = documents.drop(name)
+    schema = documents.select("*", F.lit(0.0).alias(name)).schema
 
     def scan(batches):
         automaton = lexicon.automaton()
@@ -205,7 +223,7 @@ def score_toxicity(documents: DataFrame, lexicon: Lexicon) -> DataFrame:
 
             i = batch.schema.get_field_index("text")
             scores = [lexicon.score(lexicon.density(automaton, t or "")) for t in batch.column(i).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, "toxicity_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, name])
 
     return documents.mapInArrow(scan, schema)
 
@@ -215,6 +233,6 @@ def training_rows(documents: DataFrame, labels: DataFrame) -> DataFrame:
     return (
         documents.select("doc_id", "text")
         .where((F.crc32(F.col("doc_id").cast("string")) % 5) != 0)
-        .join(labels.select("doc_id", "toxic"), "doc_id")
-        .select("text", "toxic")
+        .join(labels.where("toxic is not null").select("doc_id", "toxic"), "doc_id")
+        .select("doc_id", "text", "toxic")
     )

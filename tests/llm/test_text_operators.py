@@ -69,6 +69,20 @@ def test_pii_repeats_share_a_label():
     assert spans[1] == []
 
 
+def test_pii_long_runs_and_similar_strings():
+    """Cost is linear in unspaced text; a failing card number stays unmarked; strings of one stem share an edge."""
+    import time
+
+    start = time.perf_counter()
+    assert list(pii.nodes("语" * 200_000, [])) == [] and len(list(pii.nodes("x1" * 100_000, []))) == 1
+    assert time.perf_counter() - start < 2
+    weights = pii.train(["card 4111111111111111 or 4111111111111113 and room 12"] * 20)
+    (base, spans), (_, odd) = pii.label(["card 4111111111111111 ok", "number 4111111111111112 ok"], weights)
+    assert base == spans == [(5, 2, 21)] and odd == []
+    field = pii.pooled(list(pii.nodes("sk_live_1a then " + "w " * 40 + "sk_live_2b", [])))
+    assert pii.edges(field, 0) == ([], [(0, 1)])
+
+
 def test_pii_message_passing_agrees_with_enumeration():
     rng = np.random.default_rng(0)
     unary, w = rng.normal(size=(4, 3)), np.eye(3) * 1.5
@@ -105,7 +119,7 @@ def test_pii_empty_table_and_extra_columns(spark):
     assert pii.find_personal_data(documents(spark, [])).count() == 0
     odd = documents(spark, ["a@b.c"] * 2).withColumn("spans", F.lit(1)).withColumn("base_sha256", F.lit(2)).withColumn("lang", F.lit(None))
     odd = odd.withColumn("doc_id", F.lit(None).cast("long"))
-    assert [r.n_email for r in pii.find_personal_data(odd).collect()] == [1, 1]
+    assert [(r.n_email, r.n_spans, r.n_secret) for r in pii.find_personal_data(odd).collect()] == [(1, 1, 0)] * 2
 
 
 def url_brute(url):
