@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, WORD, Scratch
+from .common import SPACE_CLASS, Scratch
 from .windows import paired, shifted
 
 #: A host whose shrunk rate of failing documents is above this is rejected.
@@ -61,7 +61,7 @@ def with_counts(documents: DataFrame) -> DataFrame:
     base = documents.select(
         "doc_id",
         F.col("source").alias("host"),
-        F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("words"),
+        F.array_remove(F.split(text, f"[{SPACE_CLASS}]+"), "").alias("words"),
         (F.length(text) - F.regexp_count(text, F.lit(f"[{SPACE_CLASS}]"))).cast("long").alias("word_chars"),
         F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
         with_word.alias("lines"),
