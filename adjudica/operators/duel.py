@@ -10,8 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.hashing import hash32
-
 #: Pairs of one duel never exceed this, so a table of them may be broadcast.
 MAX_SEQUENCES = 10_000
 #: Values of a bootstrap are broadcast up to this many rows (some 30 bytes each).
@@ -82,8 +80,19 @@ def numbered(values: DataFrame, order: str) -> DataFrame:
     return values.withColumn("i", F.row_number().over(W.orderBy(order)) - 1)
 
 
-def bootstrap_means(values: DataFrame, replicates: int, seed: str, group: str | None = None) -> DataFrame:
-    """Means of resamples of ``d``: draw k of replicate b takes row hash(seed, b, k) mod n.
+# A prime modulus and the multipliers of the draws.
+PRIME, MULTIPLIERS = 2_147_483_647, (48_271, 69_621, 16_807)
+
+
+def draw(b: Column, k: Column, seed: int) -> Column:
+    """A number below PRIME from whole-number arithmetic alone, so that any SQL engine draws the same."""
+    x = lambda: (k * MULTIPLIERS[0] + b * MULTIPLIERS[1] + seed) % PRIME * MULTIPLIERS[2] % PRIME
+    y = (x() * x() + k) % PRIME
+    return (y * y + x()) % PRIME
+
+
+def bootstrap_means(values: DataFrame, replicates: int, seed: int, group: str | None = None) -> DataFrame:
+    """Means of resamples of ``d``: draw k of replicate b takes row draw(b, k, seed) mod n.
 
     values: (group?, i, d) with i from 0 within the group. Draws are made by
     ranges, not collected, and meet the values in an equi-join; the values are
@@ -98,12 +107,11 @@ def bootstrap_means(values: DataFrame, replicates: int, seed: str, group: str |
     # One row for each group and replicate, each exploded into its n draws.
     b = spark.range(replicates).select(F.col("id").alias("b"))
     draws = sizes.crossJoin(b).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    text = F.concat_ws("|", F.lit(seed), F.col("b").cast("string"), F.col("k").cast("string"))
-    draws = draws.withColumn("i", hash32(text) % F.col("n"))
+    draws = draws.withColumn("i", draw(F.col("b"), F.col("k"), seed) % F.col("n"))
     return draws.join(hint(values), [*keys, "i"]).groupBy(*keys, "b").agg(F.avg("d").alias("mean"))
 
 
-def verdict(pairs: DataFrame, replicates: int = 1000, alpha: float = 0.001, delta: float = 0.0015, seed: str = "0") -> DataFrame:
+def verdict(pairs: DataFrame, replicates: int = 1000, alpha: float = 0.001, delta: float = 0.0015, seed: int = 0) -> DataFrame:
     """One row: mu_hat, the alpha-quantile of resampled means, and whether it is above delta (strictly)."""
     pairs = pairs.persist()  # read by the draws and by the overall means
     d = numbered(pairs.select("seq_idx", advantage().alias("d")), "seq_idx").drop("seq_idx")
@@ -151,6 +159,13 @@ def exact_verdict(pairs: DataFrame, replicates: int, alpha: float, delta: float,
     return one.mapInPandas(run, "n_sequences long, mu_hat double, lcb double, accepted boolean")
 
 
+def capped_verdict(pairs: DataFrame, replicates: int, alpha: float, delta: float, seed: int) -> DataFrame:
+    """exact_verdict of the first MAX_SEQUENCES pairs, with how many were asked for and whether that cut any."""
+    asked = pairs.agg(F.count("*").alias("n_requested"))
+    first = exact_verdict(pairs.orderBy("seq_idx").limit(MAX_SEQUENCES), replicates, alpha, delta, seed)
+    return first.crossJoin(F.broadcast(asked)).withColumn("capped", F.col("n_requested") > MAX_SEQUENCES)
+
+
 def batches(pairs: DataFrame, size: int) -> DataFrame:
     """pairs with i (place by seq_idx) and batch."""
     return numbered(pairs, "seq_idx").withColumn("batch", F.floor(F.col("i") / size))
@@ -170,18 +185,19 @@ def running_means(pairs: DataFrame, size: int) -> DataFrame:
 
 
 def stop_points(pairs: DataFrame, size: int, delta: float, quantile: float = EARLY_STOP_QUANTILE, fraction: float = EARLY_STOP_FRACTION) -> DataFrame:
-    """Batch ends with the heuristic bound: what is left is taken at a quantile of what was seen."""
+    """Batch ends with the heuristic bound: what is left is taken at a quantile of what was seen.
+
+    Each batch end sees its own prefix, by a range join with the ends; a duel has
+    MAX_SEQUENCES rows at most, and so MAX_SEQUENCES / size ends.
+    """
     rows = batches(pairs.select("seq_idx", advantage().alias("d")), size)
-    so_far = W.orderBy("i").rowsBetween(W.unboundedPreceding, W.currentRow)
-    every = W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    seen = rows.select(
-        "i", "batch", F.count("*").over(every).alias("n"), (F.col("i") + 1).alias("done"),
-        F.sum("d").over(so_far).alias("total"), F.percentile("d", F.lit(quantile)).over(so_far).alias("q"),
-        F.max("i").over(W.partitionBy("batch")).alias("end"),
-    ).where("i = end")
+    ends = rows.groupBy("batch").agg((F.max("i") + 1).alias("done"))
+    total = rows.agg(F.count("*").alias("n"))
+    seen = rows.select("i", "d").join(F.broadcast(ends), F.col("i") < F.col("done"))
+    seen = seen.groupBy("batch", "done").agg(F.sum("d").alias("total"), F.percentile("d", F.lit(quantile)).alias("q")).crossJoin(F.broadcast(total))
     bound = (F.col("total") + (F.col("n") - F.col("done")) * F.col("q")) / F.col("n")
     ready = (F.col("done") < F.col("n")) & (F.col("done") >= F.floor(F.col("n") * fraction))
-    return seen.select("batch", "done", "n", bound.alias("heuristic_bound"), (ready & (bound < delta)).alias("stops"))
+    return seen.select("batch", F.col("done").cast("int").alias("done"), "n", bound.alias("heuristic_bound"), (ready & (bound < delta)).alias("stops"))
 
 
 def early_stop(pairs: DataFrame, size: int, delta: float) -> DataFrame:

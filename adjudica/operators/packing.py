@@ -11,15 +11,28 @@ def words(text: Column) -> Column:
     return F.split(text, r"\s+")
 
 
+#: Rows of a stream are summed in pieces of so many order values.
+PIECE = 100_000
+
+
 def token_offsets(rows: DataFrame, scope: list[str], order: list[str], tokens: str = "tokens") -> DataFrame:
     """rows with n (tokens and one end mark), start and end in their scope's stream.
 
-    The running sum is per stream, as streams are packed apart from each other.
+    The running sum is per stream. A stream is cut into pieces by its first order
+    column, a number: pieces are summed first and only their sums are put in one
+    order, so that a stream of any length is spread over many tasks.
     """
-    w = W.partitionBy(*scope).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    n = (F.size(tokens) + 1).cast("long")
-    end = F.sum("n").over(w)
-    return rows.withColumn("n", n).withColumn("end", end).withColumn("start", F.col("end") - F.col("n"))
+    sized = rows.withColumn("n", (F.size(tokens) + 1).cast("long")).withColumn("_piece", F.floor(F.col(order[0]) / PIECE))
+    sums = sized.groupBy(*scope, "_piece").agg(F.sum("n").alias("_sum"))
+    along = W.partitionBy(*scope).orderBy("_piece").rowsBetween(W.unboundedPreceding, -1)
+    before = sums.select(*[F.col(c).alias(f"_{c}") for c in scope], F.col("_piece").alias("_p"), F.coalesce(F.sum("_sum").over(along), F.lit(0)).alias("_before"))
+    within = W.partitionBy(*scope, "_piece").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    same = F.col("_piece").eqNullSafe(F.col("_p"))
+    for c in scope:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    placed = sized.withColumn("_in", F.sum("n").over(within)).join(before, same)
+    placed = placed.withColumn("end", F.col("_before") + F.col("_in")).withColumn("start", F.col("end") - F.col("n"))
+    return placed.select(*rows.columns, "n", "end", "start")
 
 
 def pack(rows: DataFrame, scope: list[str], order: list[str], length: int, eos: str = "</s>", keep_tail: bool = True) -> DataFrame:
@@ -59,13 +72,29 @@ def violations(rows: DataFrame, tokens: str, length: int, vocabulary: int) -> Da
     )
 
 
+#: Index values that one task looks at together.
+STRETCH = 1_000_000
+
+
 def merge_ranges(indices: DataFrame, column: str, gap: int) -> DataFrame:
-    """Runs of indices no more than ``gap`` apart: (first, last, n)."""
-    w = W.orderBy(column)
-    new = F.when(F.col(column) - F.lag(column).over(w) <= gap, 0).otherwise(1)
-    runs = indices.withColumn("new", new)
-    runs = runs.withColumn("run", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    return runs.groupBy("run").agg(F.min(column).alias("first"), F.max(column).alias("last"), F.count("*").alias("n")).drop("run")
+    """Runs of indices no more than ``gap`` apart: (first, last, n).
+
+    Runs are found within stretches of STRETCH values; only the first and the last
+    run of a stretch can go on in its neighbours, and only those are put in one order.
+    """
+    placed = indices.select(F.col(column).alias("_i"), F.floor(F.col(column) / STRETCH).alias("_stretch"))
+    w = W.partitionBy("_stretch").orderBy("_i")
+    new = F.when(F.col("_i") - F.lag("_i").over(w) <= gap, 0).otherwise(1)
+    placed = placed.withColumn("_new", new).withColumn("_run", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    runs = placed.groupBy("_stretch", "_run").agg(F.min("_i").alias("first"), F.max("_i").alias("last"), F.count("*").alias("n"))
+    ends = runs.groupBy("_stretch").agg(F.max("_run").alias("_last"))
+    runs = runs.join(ends, "_stretch")
+    outer = (F.col("_run") == 1) | (F.col("_run") == F.col("_last"))
+    along = W.orderBy("first")
+    edge = runs.where(outer).withColumn("_new", F.when(F.col("first") - F.lag("last").over(along) <= gap, 0).otherwise(1))
+    edge = edge.withColumn("_run", F.sum("_new").over(along.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    joined = edge.groupBy("_run").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n")).drop("_run")
+    return joined.unionByName(runs.where(~outer).select("first", "last", "n"))
 
 
 def batch_of(index: Column, size: int) -> Column:

@@ -27,30 +27,18 @@ def gate(rows: DataFrame, rules: list[tuple[str, Column]]) -> DataFrame:
 
 
 def fold_queue(rows: DataFrame) -> DataFrame:
-    """Ordered admission of (ord, hotkey, digest): each submitter and each digest once. One ordered fold.
+    """(ord, hotkey, digest, reason) of submissions in order.
 
-    A submitter's slot is used by an admitted or a repeated digest alike, so the
-    decision on a row needs those on all rows before it.
+    A submitter's first row counts, its later ones are seen; of the first rows, one
+    digest is queued once. Both firsts are minima with partial sums, so that no key,
+    however common, meets in one task; ``ord`` is unique.
     """
-
-    def run(pdf):
-        import pandas as pd
-
-        who, what, out = set(), set(), []
-        for r in pdf.sort_values("ord").itertuples():
-            if r.hotkey in who:
-                reason = "seen_hotkey"
-            elif r.digest in what:
-                reason = "digest_already_completed"
-                who.add(r.hotkey)
-            else:
-                reason = "queued"
-                who.add(r.hotkey)
-                what.add(r.digest)
-            out.append((r.ord, r.hotkey, r.digest, reason))
-        return pd.DataFrame(out, columns=["ord", "hotkey", "digest", "reason"])
-
-    return rows.select("ord", "hotkey", "digest", F.lit(1).alias("all")).groupBy("all").applyInPandas(run, "ord long, hotkey string, digest string, reason string")
+    first = rows.groupBy("hotkey").agg(F.min("ord").alias("_first"))
+    told = rows.join(first, "hotkey").withColumn("_own", F.col("ord") == F.col("_first"))
+    queued = told.where("_own").groupBy("digest").agg(F.min("ord").alias("_queued"))
+    told = told.join(queued, "digest", "left")
+    reason = F.when(~F.col("_own"), "seen_hotkey").when(F.col("ord") != F.col("_queued"), "digest_already_completed").otherwise("queued")
+    return told.select("ord", "hotkey", "digest", reason.alias("reason"))
 
 
 def requeue_front(queue: DataFrame, entry: DataFrame) -> DataFrame:

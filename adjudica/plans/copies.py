@@ -35,14 +35,16 @@ def js_summary(spark, table):
     return s.select("label", *[F.round(c, 9).alias(c) for c in ("mean", "p50", "p95", "max")])
 
 
-@query(f"""WITH {LP}, st AS (SELECT vec_id AS stored_id, lp AS lq FROM lp WHERE vec_id % 5 = 1 ORDER BY vec_id DESC LIMIT 100), ca AS (SELECT vec_id AS candidate_id, lp FROM lp WHERE vec_id % 5 = 0),
+@query(f"""WITH {LP}, st AS (SELECT vec_id AS stored_id, lp AS lq FROM lp ORDER BY vec_id DESC LIMIT 100), ca AS (SELECT vec_id AS candidate_id, lp FROM lp WHERE vec_id NOT IN (SELECT stored_id FROM st)),
 ex AS (SELECT candidate_id, stored_id, unnest(lp) AS p, unnest(lq) AS q FROM ca, st), mid AS (SELECT *, greatest(p, q) + ln(1 + exp(-abs(p - q))) - ln(2) AS m FROM ex),
 met AS (SELECT candidate_id, stored_id, round(greatest(0.5 * sum(exp(p) * (p - m) + exp(q) * (q - m)), 0), 12) AS js FROM mid GROUP BY 1, 2)
 SELECT candidate_id, stored_id, round(js, 9) AS js FROM (SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY js, stored_id DESC) AS r FROM met) WHERE r = 1""")
 def copy_closest(spark, table):
+    """The newest 100 are the bank, all others are candidates."""
     lp = fp.with_log_probabilities(table("embeddings"), "embedding")
-    stored = lp.where("vec_id % 5 = 1").select(F.col("vec_id").alias("stored_id"), F.col("lp").alias("lp_b"))
-    return fp.closest(lp.where("vec_id % 5 = 0").select(F.col("vec_id").alias("candidate_id"), F.col("lp").alias("lp_a")), stored)
+    bank = table("embeddings").select("vec_id").orderBy(F.desc("vec_id")).limit(100)
+    stored = lp.join(F.broadcast(bank), "vec_id", "left_semi").select(F.col("vec_id").alias("stored_id"), F.col("lp").alias("lp_b"))
+    return fp.closest(lp.join(F.broadcast(bank), "vec_id", "left_anti").select(F.col("vec_id").alias("candidate_id"), F.col("lp").alias("lp_a")), stored)
 
 
 def arrivals(table):
@@ -136,9 +138,9 @@ def digest_of_digests(spark, table):
     return g.select("source", F.sha2(joined, 256).alias("digest"), F.sha2(F.array_join(F.transform("s", lambda x: x["h"]), ""), 256).alias("plain"), F.size("s").cast("long").alias("n"))
 
 
-@query("SELECT lang, sha256(string_agg(sha256(text), '' ORDER BY doc_id)) AS digest FROM documents WHERE doc_id % 10 = 0 GROUP BY 1")
+@query("SELECT lang, sha256(string_agg(sha256(text), '' ORDER BY doc_id)) AS digest FROM documents GROUP BY 1")
 def concat_hash(spark, table):
-    d = table("documents").where("doc_id % 10 = 0").groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("doc_id", F.sha2("text", 256).alias("h")))).alias("s"))
+    d = table("documents").groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("doc_id", F.sha2("text", 256).alias("h")))).alias("s"))
     return d.select("lang", F.sha2(F.array_join(F.transform("s", lambda x: x["h"]), ""), 256).alias("digest"))
 
 

@@ -19,11 +19,19 @@ pairs AS (SELECT doc_id AS seq_idx, source, sum(la * n) / sum(n) AS champion_los
 """
 
 
-def boot(values: str, replicates: int, seed: str) -> str:
+def drawn(b: str, k: str, seed: int) -> str:
+    """The SQL twin of duel.draw."""
+    p, (m0, m1, m2) = duel.PRIME, duel.MULTIPLIERS
+    x = f"((({k}::bigint * {m0} + {b}::bigint * {m1} + {seed}) % {p}) * {m2} % {p})"
+    y = f"(({x} * {x} + {k}) % {p})"
+    return f"(({y} * {y} + {x}) % {p})"
+
+
+def boot(values: str, replicates: int, seed: int) -> str:
     """CTEs ``draws`` and ``means`` over a CTE with (i, d)."""
     return f"""
 size AS (SELECT count(*) AS n FROM {values}),
-draws AS (SELECT b, ('0x' || substr(md5('{seed}|' || b || '|' || k), 1, 8))::bigint % n AS i FROM size, range({replicates}) t(b), (SELECT unnest(range(n)) AS k FROM size)),
+draws AS (SELECT b, {drawn("b", "k", seed)} % n AS i FROM size, range({replicates}) t(b), (SELECT unnest(range(n)) AS k FROM size)),
 means AS (SELECT b, avg(d) AS mean FROM draws JOIN {values} USING (i) GROUP BY b)
 """
 
@@ -35,7 +43,7 @@ def pairs_of(table):
     return duel.cohort_scores(table("documents"), table("labels"))
 
 
-@query(f"""WITH {PAIRS}, {DIFFS}, {boot("diffs", 1000, "0")},
+@query(f"""WITH {PAIRS}, {DIFFS}, {boot("diffs", 1000, 0)},
 l AS (SELECT quantile_cont(mean, 0.001) AS lcb FROM means),
 o AS (SELECT count(*) AS n_sequences, avg(champion_loss) AS c, avg(challenger_loss) AS h, avg(champion_loss - challenger_loss) AS m FROM pairs)
 SELECT lcb > 0.0015 AS accepted, CASE WHEN lcb > 0.0015 THEN 'challenger' ELSE 'king' END AS verdict, round(m, 6) AS mu_hat, round(lcb, 6) AS lcb,
@@ -78,14 +86,14 @@ def duel_early_stop(spark, table):
     return duel.early_stop(pairs_of(table), 64, 0.0015)
 
 
-@query(f"""WITH {PAIRS}, {STOPS}, prefix AS (SELECT i, d FROM numbered, first_stop WHERE i < done), {boot("prefix", 200, "es")}
+@query(f"""WITH {PAIRS}, {STOPS}, prefix AS (SELECT i, d FROM numbered, first_stop WHERE i < done), {boot("prefix", 200, 7)}
 SELECT (SELECT done FROM first_stop) AS n_sequences_evaluated, round(avg(d), 6) AS mu_hat, (SELECT round(quantile_cont(mean, 0.001), 6) FROM means) AS lcb FROM prefix HAVING count(*) > 0""")
 def duel_partial_lcb(spark, table):
     pairs = pairs_of(table)
     stop = duel.early_stop(pairs, 64, 0.0015).select("done")
     rows = duel.numbered(pairs.select("seq_idx", duel.advantage().alias("d")), "seq_idx")
     prefix = rows.crossJoin(F.broadcast(stop)).where("i < done")  # one row at most
-    lcb = duel.bootstrap_means(prefix.select("i", "d"), 200, "es").agg(F.round(F.percentile("mean", F.lit(0.001)), 6).alias("lcb"))
+    lcb = duel.bootstrap_means(prefix.select("i", "d"), 200, 7).agg(F.round(F.percentile("mean", F.lit(0.001)), 6).alias("lcb"))
     mean = prefix.agg(F.max("done").alias("n_sequences_evaluated"), F.round(F.avg("d"), 6).alias("mu_hat")).where("n_sequences_evaluated is not null")
     return mean.crossJoin(lcb)
 
@@ -99,20 +107,20 @@ def self_duel(spark, table):
 
 @query(r"""WITH v AS (SELECT event_type, value AS d, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS i FROM events WHERE event_id % 10 = 0),
 s AS (SELECT event_type, count(*) AS n FROM v GROUP BY 1),
-dr AS (SELECT event_type, b, ('0x' || substr(md5('ci|' || b || '|' || k), 1, 8))::bigint % n AS i FROM (SELECT event_type, n, unnest(range(n)) AS k FROM s), range(100) t(b)),
+dr AS (SELECT event_type, b, DRAWN % n AS i FROM (SELECT event_type, n, unnest(range(n)) AS k FROM s), range(100) t(b)),
 m AS (SELECT event_type, b, avg(d) AS mean FROM dr JOIN v USING (event_type, i) GROUP BY 1, 2)
-SELECT event_type, round(quantile_cont(mean, 0.05), 6) AS low, round(quantile_cont(mean, 0.95), 6) AS high FROM m GROUP BY 1""".replace(" WHERE event_id % 10 = 0", ""))
+SELECT event_type, round(quantile_cont(mean, 0.05), 6) AS low, round(quantile_cont(mean, 0.95), 6) AS high FROM m GROUP BY 1""".replace(" WHERE event_id % 10 = 0", "").replace("DRAWN", drawn("b", "k", 11)))
 def bootstrap_ci_events(spark, table):
     i = F.row_number().over(W.partitionBy("event_type").orderBy("event_id")) - 1
     values = table("events").select("event_type", F.col("value").alias("d"), i.alias("i"))
-    means = duel.bootstrap_means(values, 100, "ci", "event_type")
+    means = duel.bootstrap_means(values, 100, 11, "event_type")
     q = lambda p, name: F.round(F.percentile("mean", F.lit(p)), 6).alias(name)
     return means.groupBy("event_type").agg(q(0.05, "low"), q(0.95, "high"))
 
 
 @query()
 def bootstrap_exact_numpy(spark, table):
-    return duel.exact_verdict(pairs_of(table).orderBy("seq_idx").limit(duel.MAX_SEQUENCES), 1000, 0.001, 0.0015, 0)
+    return duel.capped_verdict(pairs_of(table), 1000, 0.001, 0.0015, 0)
 
 
 @query()
@@ -120,7 +128,7 @@ def paired_eval_alt(spark, table):
     """The stand-alone runner: its generator is seeded from a hash of the block and the submitter."""
     from ..functions.hashing import blake_seed
 
-    return duel.exact_verdict(pairs_of(table).orderBy("seq_idx").limit(duel.MAX_SEQUENCES), 1000, 0.001, 0.0015, blake_seed("block|hotkey"))
+    return duel.capped_verdict(pairs_of(table), 1000, 0.001, 0.0015, blake_seed("block|hotkey"))
 
 
 @query(r"""WITH x AS (SELECT event_type, value FROM events), e AS (SELECT max(value) FILTER (event_type = 'purchase') AS good_max, min(value) FILTER (event_type <> 'purchase') AS trick_min FROM x)

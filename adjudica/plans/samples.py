@@ -150,11 +150,11 @@ def scan_token_lists(spark, table):
     return rows.select("vec_id", F.size("tokens").cast("long").alias("n"), F.aggregate("tokens", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
 
 
-@query("""WITH i AS (SELECT DISTINCT o_orderkey AS k FROM orders WHERE o_orderkey % 97 < 2), g AS (SELECT k, CASE WHEN k - lag(k) OVER (ORDER BY k) <= 64 THEN 0 ELSE 1 END AS new FROM i),
+@query("""WITH i AS (SELECT DISTINCT o_orderkey AS k FROM orders), g AS (SELECT k, CASE WHEN k - lag(k) OVER (ORDER BY k) <= 8 THEN 0 ELSE 1 END AS new FROM i),
 r AS (SELECT k, sum(new) OVER (ORDER BY k) AS run FROM g) SELECT min(k) AS "first", max(k) AS "last", count(*) AS n FROM r GROUP BY run""")
 def range_coalesce(spark, table):
-    keys = table("orders").select(F.col("o_orderkey").alias("k")).where("k % 97 < 2").distinct()
-    return packing.merge_ranges(keys, "k", 64)
+    keys = table("orders").select(F.col("o_orderkey").alias("k")).distinct()
+    return packing.merge_ranges(keys, "k", 8)
 
 
 @query("WITH x AS (SELECT source, count(*) AS n FROM documents GROUP BY 1), b AS (SELECT source, n, coalesce(sum(n) OVER (ORDER BY source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS before FROM x) SELECT source, n AS \"count\", before, least(n, 333 - before)::bigint AS taken FROM b WHERE before < 333")
@@ -187,8 +187,14 @@ def seed_material(spark, table):
 
 @query()
 def seed_integers(spark, table):
-    rows = [(r.source, hashing.source_seed(42, r.source) % 2**63) for r in sources(table).orderBy("source").limit(1000).collect()]
-    return spark.createDataFrame(rows, "source string, seed long").withColumn("mixed", hashing.iteration_seed(F.length("source")))
+    of = hashing.source_seed
+
+    def seeds(batches):
+        for pdf in batches:
+            yield pdf.assign(seed=[of(42, s) % 2**63 for s in pdf["source"]])
+
+    made = table("documents").select("source").distinct().mapInPandas(seeds, "source string, seed long")
+    return made.withColumn("mixed", hashing.iteration_seed(F.length("source")))
 
 
 @query()
@@ -207,10 +213,10 @@ def scatter_gather(spark, table):
     return sent.join(rows.select("seq_idx", "quality"), "seq_idx")
 
 
-@query("SELECT 'documents' AS label, doc_id AS id FROM documents WHERE doc_id % 9 = 0 UNION ALL SELECT 'pages', page_id FROM pages WHERE page_id % 9 = 0")
+@query("SELECT 'documents' AS label, doc_id AS id FROM documents UNION ALL SELECT 'pages', page_id FROM pages")
 def source_union(spark, table):
-    a = table("documents").where("doc_id % 9 = 0").select(F.lit("documents").alias("label"), F.col("doc_id").alias("id"))
-    return a.unionByName(table("pages").where("page_id % 9 = 0").select(F.lit("pages").alias("label"), F.col("page_id").alias("id")))
+    a = table("documents").select(F.lit("documents").alias("label"), F.col("doc_id").alias("id"))
+    return a.unionByName(table("pages").select(F.lit("pages").alias("label"), F.col("page_id").alias("id")))
 
 
 @query("SELECT user_id, min(event_id) AS first_event FROM events GROUP BY 1")

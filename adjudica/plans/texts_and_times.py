@@ -64,10 +64,10 @@ def commitment_decode(spark, table):
     return table("customer").select("c_custkey", decoded.alias("payload")).withColumn("legacy", F.startswith("payload", F.lit("v3|")))
 
 
-@query("SELECT c_custkey, 'k' || (c_custkey % 5) AS digest FROM customer WHERE c_custkey % 2 = 0")
+@query("SELECT c_custkey, 'k' || (c_custkey % 5) AS digest FROM customer")
 def digest_from_key(spark, table):
     key = F.concat("c_name", F.lit("@k"), F.col("c_custkey") % 5)
-    return table("customer").where("c_custkey % 2 = 0").select("c_custkey", F.substring_index(key, "@", -1).alias("digest"))
+    return table("customer").select("c_custkey", F.substring_index(key, "@", -1).alias("digest"))
 
 
 @query(r"""SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'org/set' || page_id ELSE 'plain/name' END AS repo, CASE WHEN page_id % 3 = 0 THEN 'pre/' ELSE '/' END || page_id || '.npy' AS ref, left(sha256(url), 24) || '-' || list_extract(string_split(string_split(url, '?')[1], '/'), -1) AS cache FROM pages""")
@@ -110,7 +110,7 @@ def missing_model(spark, table):
     return table("pages").select("page_id", text.missing_model(log).alias("missing"))
 
 
-@query()
+@query("""SELECT p_partkey, '{"arch":' || to_json(p_brand) || coalesce(',"layers":' || p_size, '') || ',"type":' || to_json(p_type) || '}' AS key, 'model ' || p_name || ' resembles ' || p_brand AS message FROM part""")
 def json_key(spark, table):
     key = F.to_json(F.struct(F.col("p_brand").alias("arch"), F.col("p_size").alias("layers"), F.col("p_type").alias("type")))
     said = F.format_string("model %s resembles %s", F.col("p_name"), F.col("p_brand"))
@@ -204,12 +204,15 @@ def stream_event_counts(spark, table):
     return ev.drain(counts, f"counts_{uuid.uuid4().hex[:8]}").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-@query()
+@query("""WITH o AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS nth FROM o)
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM s GROUP BY user_id, nth""")
 def stream_sessions(spark, table):
-    return ev.drain(ev.sessions(streamed(spark, table), "ts", "30 minutes", "user_id"), f"sessions_{uuid.uuid4().hex[:8]}")
+    found = ev.drain(ev.sessions(streamed(spark, table), "ts", "30 minutes", "user_id"), f"sessions_{uuid.uuid4().hex[:8]}")
+    return found.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
 
 
-@query()
+@query("SELECT event_id, event_type FROM events WHERE event_type IN ('error', 'purchase')")
 def event_sink(spark, table):
     ends = streamed(spark, table).where("event_type in ('error', 'purchase')").select("event_id", "event_type")
     return ev.drain(ends, f"sink_{uuid.uuid4().hex[:8]}", "append")

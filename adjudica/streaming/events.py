@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..sources.shared import shared_folder
+
 WARN_SECONDS = 180
 FAIL_SECONDS = 420
 
@@ -106,7 +108,17 @@ def sessions(events: DataFrame, ts: str, gap: str, key: str) -> DataFrame:
 
 
 def drain(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Run a stream over all that is there, into a table of the session's memory."""
-    run = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """Run a stream over all that is there into a Parquet table in the shared folder, and read it.
+
+    Every batch replaces the table in mode ``complete`` and adds its rows in mode
+    ``append``; nothing is held by the driver.
+    """
+    spark, folder = stream.sparkSession, shared_folder(stream.sparkSession, name)
+    write = "overwrite" if mode == "complete" else "append"
+
+    def put(rows: DataFrame, _: int) -> None:
+        rows.write.mode(write).parquet(f"{folder}/table")
+
+    run = stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     run.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).parquet(f"{folder}/table")

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from adjudica.functions import hashing, text
-from adjudica.operators import boards, duel, fingerprint, packing, sampling
+from adjudica.operators import boards, duel, fingerprint, packing, registry, sampling
 from adjudica.sources import npytok, scans
 
 
@@ -174,3 +174,39 @@ def test_seeds():
     assert hashing.source_seed(1, "a") != hashing.source_seed(1, "b")
     assert hashing.blake_seed("x", "big") == int.from_bytes(hashing.blake_seed("x").to_bytes(8, "little"), "big")
     assert sorted(sampling.exact_choice(5, 9, 0)) == [0, 1, 2, 3, 4]
+
+
+def test_queue_fold_equals_a_loop(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, f"h{rng.integers(12)}", f"d{rng.integers(6)}") for i in range(80)]
+    who, what, want = set(), set(), {}
+    for i, h, d in rows:
+        want[i] = "seen_hotkey" if h in who else "digest_already_completed" if d in what else "queued"
+        who.add(h)
+        what |= {d} if want[i] == "queued" else set()
+    got = registry.fold_queue(spark.createDataFrame(rows, "ord long, hotkey string, digest string"))
+    assert {r.ord: r.reason for r in got.collect()} == want
+
+
+def test_runs_and_offsets_do_not_depend_on_pieces(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    values = sorted({int(x) for x in rng.integers(0, 3000, 400)})
+    want, run = [], [values[0]]
+    for v in values[1:]:
+        if v - run[-1] > 9:
+            want.append((run[0], run[-1], len(run)))
+            run = []
+        run.append(v)
+    want.append((run[0], run[-1], len(run)))
+    rows = spark.createDataFrame([("a" if v % 3 else None, v, ["x"] * (v % 5)) for v in values], "s string, id long, tokens array<string>")
+    for stretch in (10, 700, 10_000):
+        monkeypatch.setattr(packing, "STRETCH", stretch)
+        monkeypatch.setattr(packing, "PIECE", stretch)
+        got = packing.merge_ranges(spark.createDataFrame([(v,) for v in values], "i long"), "i", 9).collect()
+        assert sorted(tuple(r[c] for c in ("first", "last", "n")) for r in got) == want
+        at = {"a": 0, None: 0}
+        ends = {(r.s, r.id): (r.start, r.end) for r in packing.token_offsets(rows, ["s"], ["id"]).collect()}
+        for v in values:
+            s = "a" if v % 3 else None
+            assert ends[s, v] == (at[s], at[s] + v % 5 + 1)
+            at[s] += v % 5 + 1
