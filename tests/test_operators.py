@@ -4,8 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from adjudica import ingest as ingest_cli
 from adjudica.functions import hashing, text
-from adjudica.operators import boards, duel, fingerprint, packing, registry, sampling
+from adjudica.operators import boards, duel, evaluation, fingerprint, packing, registry, sampling
 from adjudica.sources import npytok, scans
 
 
@@ -210,3 +211,33 @@ def test_runs_and_offsets_do_not_depend_on_pieces(spark, monkeypatch):
             s = "a" if v % 3 else None
             assert ends[s, v] == (at[s], at[s] + v % 5 + 1)
             at[s] += v % 5 + 1
+
+
+def test_requests_are_checked_and_failures_recorded(spark, tmp_path):
+    with pytest.raises(ValueError, match="strategy"):
+        evaluation.DuelRequest("a", "b", strategy="none").check()
+    with pytest.raises(ValueError, match="n must"):
+        evaluation.MultiSourceRequest("a", "b", n=0).check()
+    rows = spark.createDataFrame([(i, "s", "word " * 60) for i in range(9)], "doc_id long, source string, text string")
+    request = evaluation.DuelRequest("a", "b", batch_size=2, n_bootstrap=50)
+
+    def worse(d):
+        return d.select(F.col("doc_id").alias("seq_idx"), "source", F.lit(1.0).alias("champion_loss"), F.lit(2.0).alias("challenger_loss"))
+
+    done = evaluation.run_duel(spark, request, rows, worse, str(tmp_path))
+    r = evaluation.evaluation(spark, str(tmp_path), done).first()
+    assert (r.state, r.accepted, r.stopped_early, r.n_sequences) == ("completed", False, True, 2)
+    with pytest.raises(Exception, match="no_such"):
+        evaluation.run_duel(spark, request, rows, lambda d: d.select("no_such"), str(tmp_path))
+    states = spark.read.parquet(f"{tmp_path}/events").groupBy("eval_id").agg(F.max_by("type", "ord").alias("t"))
+    assert sorted(x.t for x in states.collect()) == ["error", "verdict"]
+    assert evaluation.evaluation(spark, str(tmp_path), "unknown").count() == 0
+
+
+def test_ingest_command_line(spark, tmp_path, capsys):
+    rows = [(i, "a" if i % 3 else "b", "one two three") for i in range(12)]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(str(tmp_path / "in"))
+    assert ingest_cli.main([str(tmp_path / "in"), str(tmp_path / "out"), "--keep-tail", "--part-id", "p1"]) == 0
+    assert capsys.readouterr().out == "2 shards, 48 tokens\n"
+    assert sorted(p.name for p in (tmp_path / "out").glob("*.npy")) == ["p1-a-000000.npy", "p1-b-000000.npy"]
+    assert ingest_cli.main([str(tmp_path / "in"), "", "--dry-run", "--one-shard-per-source"]) == 0
