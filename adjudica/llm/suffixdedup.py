@@ -8,15 +8,18 @@ each stretch of ``STRETCH`` positions, the one with the least hash of the next
 strings the same chosen position lies in the first STRETCH bytes of both, and
 the 400 - STRETCH bytes behind it agree.
 
-Ranks are names (64-bit hashes) of the bytes behind a position, paired at growing
-lengths as in prefix doubling; after each round, what is unique is dropped.
+Ranks are names (64-bit hashes) of the bytes behind a position. A round pairs the rank
+of a position with that of the bytes at a growing offset, has Spark sort the pairs by
+range, so that a very common passage spreads over many tasks, drops what is unique and
+goes on with the rest at twice the length:
 Round 0: GRAM bytes, in the document, by doubling 1, 2, 4, 8, 16; it chooses.
-Round 1: 400 - STRETCH + 1 bytes. Spark sorts (rank, text, position) by range, so
-  that a very common passage spreads over many tasks, and drops unique ranks.
-Round 2: the rank is paired with that of the STRETCH + 399 bytes around the
+Rounds 1 to 4: 64 bytes, then those 64 behind them, 128 behind those, and the last 17,
+  400 - STRETCH + 1 bytes in all. A row carries short names of the pieces to come, so
+  that no round reads a text again.
+Round 5: the rank is paired with that of the STRETCH + 399 bytes around the
   position, past the threshold. Where this pair is repeated, all 400-byte strings
   that start in the stretch are, and they are settled.
-Round 3: where one round-1 rank has several round-2 ranks, the 400-byte strings
+Round 6: where one rank has several round-5 ranks, the 400-byte strings
   of one member of each are named and counted themselves.
 
 Equal texts are sorted once; every byte of a copied text of 400 bytes or more
@@ -44,6 +47,8 @@ STRETCH = 128
 GRAM = 16
 RIGHT = LENGTH - STRETCH + 1
 BLOCK = 1 << 18
+#: Bytes that rounds 1 to 4 see: offset and end of the piece each adds.
+PIECES = [(0, 64), (64, 128), (128, 256), (256, RIGHT)]
 
 BYTE_HASH = np.random.default_rng(7).integers(0, 2**32, 256, dtype=np.uint32)
 
@@ -97,11 +102,12 @@ def buffers(column) -> tuple[np.ndarray, np.ndarray]:
 
 
 def ranked(documents: DataFrame) -> DataFrame:
-    """(rank, text_hash, place): the chosen places of every text with their RIGHT bytes' name."""
+    """(rank, text_hash, place, piece_1, ...): the chosen places of every text, the name of their first bytes and of the pieces behind."""
 
     def scan(batches):
         import pyarrow as pa
         from xxhash import xxh3_64_intdigest as name
+        from xxhash import xxh32_intdigest as short
 
         for batch in batches:
             data, offsets = buffers(batch.column(1))
@@ -114,13 +120,31 @@ def ranked(documents: DataFrame) -> DataFrame:
                 row = np.searchsorted(offsets[lo : hi + 1], places, "right") - 1 + lo
                 inside = places + RIGHT <= offsets[row + 1]
                 places, row = places[inside], row[inside]
-                ranks = np.fromiter((name(view[a : a + RIGHT]) for a in places.tolist()), np.uint64, len(places)).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ranks), pa.array(keys[row], pa.int64()), pa.array((places - offsets[row]).astype(np.int64))],
-                    ["rank", "text_hash", "place"],
-                )
+                at, n = places.tolist(), len(places)
+                a, b = PIECES[0]
+                columns = [pa.array(np.fromiter((name(view[p + a : p + b]) for p in at), np.uint64, n).view(np.int64))]
+                columns += [pa.array(keys[row], pa.int64()), pa.array((places - offsets[row]).astype(np.int32))]
+                columns += [pa.array(np.fromiter((short(view[p + a : p + b]) for p in at), np.uint32, n).view(np.int32)) for a, b in PIECES[1:]]
+                yield pa.RecordBatch.from_arrays(columns, ["rank", "text_hash", "place", *NEXT])
 
-    return documents.select("text_hash", "data").mapInArrow(scan, "rank long, text_hash long, place long")
+    return documents.select("text_hash", "data").mapInArrow(scan, "rank long, text_hash long, place int, " + ", ".join(f"{c} int" for c in NEXT))
+
+
+NEXT = [f"piece_{i}" for i in range(1, len(PIECES))]
+
+
+def doubled(documents: DataFrame, scratch: Scratch) -> DataFrame:
+    """(rank, text_hash, place) of the places whose RIGHT bytes occur elsewhere, by rounds of sorted pairs."""
+    left = scratch.save(ranked(documents))
+    for n in range(len(PIECES)):
+        if n:
+            paired = F.xxhash64("rank", NEXT[n - 1])
+            left = before.withColumn("rank", paired).drop(NEXT[n - 1])
+        found = drop_unique(left, scratch)
+        scratch.free(left if n == 0 else before)
+        release_shuffles(scratch.spark)
+        before = found
+    return found
 
 
 #: Rows of one rank that wait for their neighbours at most.
@@ -134,6 +158,8 @@ def drop_unique(ranks: DataFrame, scratch: Scratch) -> DataFrame:
     are elsewhere: the rounds to come decide about them.
     """
 
+    names = ["rank", "text_hash", "place", *[c for c in ranks.columns if c not in ("rank", "text_hash", "place")]]
+
     def mark(batches):
         import pyarrow as pa
 
@@ -141,11 +167,13 @@ def drop_unique(ranks: DataFrame, scratch: Scratch) -> DataFrame:
         begun = False
         told = None  # a rank of which rows are out already
 
-        def flush(rank, key, place, last):
+        def flush(columns, last):
             nonlocal begun
+            rank, key, place = columns[:3]
             new = np.ones(len(rank), bool)
             new[1:] = (rank[1:] != rank[:-1]) | (key[1:] != key[:-1]) | (place[1:] != place[:-1])
-            rank, key, place = rank[new], key[new], place[new]
+            columns = [x[new] for x in columns]
+            rank = columns[0]
             same = rank[1:] == rank[:-1]
             keep = np.zeros(len(rank), bool)
             keep[1:] |= same
@@ -157,10 +185,10 @@ def drop_unique(ranks: DataFrame, scratch: Scratch) -> DataFrame:
                 keep[-1] = True
             if told is not None:
                 keep |= rank == told
-            return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (rank, key, place)], ["rank", "text_hash", "place"])
+            return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in columns], names)
 
         for batch in batches:
-            rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+            rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(len(names))]
             if not len(rows[0]):
                 continue
             if held is not None:
@@ -168,23 +196,23 @@ def drop_unique(ranks: DataFrame, scratch: Scratch) -> DataFrame:
             # The last two rows wait, so that each row is judged beside its neighbours.
             start = np.searchsorted(rows[0], rows[0][-1], "left")
             if start == 0 and len(rows[0]) > HELD:  # one rank fills the batch: all but the last row are repeats
-                yield pa.RecordBatch.from_arrays([pa.array(x[:-1]) for x in rows], ["rank", "text_hash", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[:-1]) for x in rows], names)
                 begun, told, held = True, rows[0][-1], [x[-1:] for x in rows]
                 continue
             if start:
-                yield flush(*[x[:start] for x in rows], False)
+                yield flush([x[:start] for x in rows], False)
             held = [x[start:] for x in rows]
         if held is not None:
-            yield flush(*held, True)
+            yield flush(held, True)
 
     n = max(2, int(ranks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     order = ["rank", "text_hash", "place"]
-    ordered = ranks.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    return scratch.save(ordered.mapInArrow(mark, "rank long, text_hash long, place long"))
+    ordered = ranks.select(*names).repartitionByRange(n, *order).sortWithinPartitions(*order)
+    return scratch.save(ordered.mapInArrow(mark, ranks.select(*names).schema))
 
 
 def around(texts: DataFrame) -> DataFrame:
-    """Round 2: (rank, wide, text_hash, place, low, high); starts low..high lie in the place's stretch."""
+    """Round 5: (rank, wide, text_hash, place, low, high); starts low..high lie in the place's stretch."""
 
     def scan(batches):
         import pyarrow as pa
@@ -212,7 +240,7 @@ def around(texts: DataFrame) -> DataFrame:
 
 
 def strings_at(texts: DataFrame) -> DataFrame:
-    """Round 3: (name, text_hash, start) of the 400-byte strings that start in the given ranges."""
+    """Round 6: (name, text_hash, start) of the 400-byte strings that start in the given ranges."""
 
     def scan(batches):
         import pyarrow as pa
@@ -270,10 +298,7 @@ def repeated_strings(documents: DataFrame, scratch: Scratch) -> tuple[DataFrame,
     spark = documents.sparkSession
     long = documents.where(F.octet_length("text") >= LENGTH)
     docs = long.select(F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").cast("binary").alias("data"))
-    ranks = scratch.save(ranked(docs))
-    left = drop_unique(ranks, scratch)
-    scratch.free(ranks)
-    release_shuffles(spark)
+    left = doubled(docs, scratch)
     by_text = left.groupBy("text_hash").agg(F.collect_list("place").alias("places"))
     order = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
     light = long.select(F.xxhash64("text").alias("text_hash"), order.alias("doc"))
@@ -283,11 +308,12 @@ def repeated_strings(documents: DataFrame, scratch: Scratch) -> tuple[DataFrame,
     full = long.select(F.xxhash64("text").alias("text_hash"), order.alias("doc"), F.col("text").cast("binary").alias("data"))
     texts = full.join(one, (F.col("text_hash") == F.col("t")) & (F.col("doc") == F.col("d"))).select("text_hash", "data", "places")
     texts = scratch.save(texts)
+    scratch.free(left)
     release_shuffles(spark)
     wide = scratch.save(around(texts).distinct())
     pairs = scratch.save(wide.groupBy("rank", "wide").agg(F.count("*").alias("n")))
     several = pairs.groupBy("rank").agg(F.count("*").alias("kinds")).where("kinds > 1").select("rank")
-    # Settled: the round-2 pair is repeated.
+    # Settled: the round-5 pair is repeated.
     settled = wide.join(pairs.where("n > 1"), ["rank", "wide"], "left_semi").select("text_hash", "low", "high")
     # Not settled: one member of each pair under ranks with several.
     member = wide.groupBy("rank", "wide").agg(F.min(F.struct("text_hash", "low", "high")).alias("m"))
@@ -304,7 +330,8 @@ def repeated_strings(documents: DataFrame, scratch: Scratch) -> tuple[DataFrame,
     named = named.withColumn("again", F.coalesce(away(before), F.lit(False)) | F.coalesce(away(after), F.lit(False)))
     more = named.where("again").select("text_hash", F.col("start").alias("low"), F.col("start").alias("high"))
     ranges = settled.unionByName(more).distinct()
-    ranges = ranges.groupBy("text_hash").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
+    ranges = scratch.save(ranges.groupBy("text_hash").agg(F.collect_list(F.struct("low", "high")).alias("ranges")))
+    scratch.free(wide, pairs)
     release_shuffles(spark)
     return texts.select("text_hash", "data").join(ranges, "text_hash"), copies.where("n > 1").select("text_hash")
 
@@ -313,7 +340,9 @@ def report_repeats(documents: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document."""
     scratch = Scratch(documents.sparkSession, "suffixdedup")
     texts, copied = repeated_strings(documents, scratch)
-    found = scratch.save(cut(texts).drop("kept")).distinct().select(F.col("text_hash").alias("__t"), "n_removed", "n_spans", "kept_sha256")
+    found = scratch.save(cut(texts).drop("kept")).distinct()
+    release_shuffles(documents.sparkSession)
+    found = found.select(F.col("text_hash").alias("__t"), "n_removed", "n_spans", "kept_sha256")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     docs = documents.select(
         "doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.xxhash64("text").alias("text_hash"), F.sha2(text, 256).alias("own")
