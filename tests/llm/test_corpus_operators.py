@@ -198,7 +198,7 @@ def test_lines_that_share_a_passage_are_not_candidates(spark):
 
 def test_simhash_counts_bits(spark):
     features = spark.createDataFrame([("alpha beta gamma",), ("one",)], "form string")
-    rows = features.select("form", linededup.word_features(F.split("form", " ")).alias("h")).collect()
+    rows = features.select("form", F.split("form", " ").alias("words")).select("form", linededup.word_features("words").alias("h")).collect()
     got = {r.form: r.sim for r in linededup.with_simhash(features.withColumn("line", F.xxhash64("form"))).join(features.withColumn("id", F.xxhash64("form")), "id").collect()}
     for r in rows:
         bits = [sum(h >> i & 1 for h in r.h) * 2 > len(r.h) for i in range(64)]
