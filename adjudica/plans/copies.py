@@ -62,20 +62,35 @@ def bank_trim(spark, table):
     return fp.trim_bank(table("embeddings").select("vec_id", "label"), 100, "vec_id")
 
 
-@query()
+@query("SELECT vec_id AS id, label::varchar AS key_id, count(*) OVER (PARTITION BY label) AS family_size, 128 AS bytes, CASE WHEN vec_id % 3 = 1 THEN 'payload has the wrong size' WHEN vec_id % 3 = 2 THEN 'payload does not match its digest' END AS refused, vec_id % 3 = 0 AS close FROM embeddings")
 def bank_table(spark, table):
-    """Stored rows in the bank's schema, one per (version, key, digest), with family sizes."""
+    """Rows in the bank's schema with family sizes; payloads read back, of which a third is cut and a third is altered."""
     import numpy as np
+    import pandas as pd
+
+    encode, decode = fp.encode, fp.decode
 
-    def rows(batches):
+    def stored(batches):
         for pdf in batches:
-            payload = [fp.encode(np.asarray(x)) for x in pdf["embedding"]]
-            yield pdf[["vec_id", "label"]].assign(logits=[p for p, _ in payload], logits_sha256=[d for _, d in payload])
+            payload = [encode(np.asarray(x)) for x in pdf["embedding"]]
+            yield pdf[["vec_id", "label", "embedding"]].assign(logits=[p for p, _ in payload], logits_sha256=[d for _, d in payload])
 
-    raw = table("embeddings").mapInPandas(rows, "vec_id long, label int, logits binary, logits_sha256 string")
-    first = W.partitionBy("label", "logits_sha256").orderBy("vec_id")
-    bank = raw.withColumn("r", F.row_number().over(first)).where("r = 1").withColumn("family_size", F.count("*").over(W.partitionBy("label")))
-    return bank.select(F.col("vec_id").alias("id"), F.lit("v1").alias("version"), F.col("label").cast("string").alias("key_id"), F.col("logits_sha256").alias("model_digest"), F.col("label").cast("string").alias("similarity_group"), F.lit(1).alias("rows"), F.lit(64).alias("vocab_size"), "logits_sha256", "logits", "family_size")
+    def read(batches):
+        for pdf in batches:
+            rows = []
+            for i, x, raw, digest in zip(pdf["vec_id"], pdf["embedding"], pdf["logits"], pdf["logits_sha256"], strict=True):
+                sent = raw[:-2] if i % 3 == 1 else bytes([raw[0] ^ 1]) + raw[1:] if i % 3 == 2 else raw
+                try:
+                    rows.append((i, None, bool(np.allclose(decode(sent, 1, len(x), digest)[0], x, atol=1e-2))))
+                except ValueError as e:
+                    rows.append((i, str(e), False))
+            yield pd.DataFrame(rows, columns=["id", "refused", "close"])
+
+    bank = table("embeddings").mapInPandas(stored, "vec_id long, label int, embedding array<float>, logits binary, logits_sha256 string")
+    told = bank.mapInPandas(read, "id long, refused string, close boolean")
+    sizes = fp.family_sizes(bank, "label")
+    held = bank.join(sizes, "label").select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("key_id"), "family_size", F.octet_length("logits").alias("bytes"))
+    return held.join(told, "id")
 
 
 NORM = "SELECT round(sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))), 4) AS norm FROM embeddings"
