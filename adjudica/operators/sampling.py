@@ -83,12 +83,36 @@ def rotate(files: DataFrame, start: int, limit: int) -> DataFrame:
     return files.withColumn("turn", (F.col("idx") - start + n) % n).where(F.col("turn") < limit)
 
 
+#: Rows are numbered in pieces of so many order values.
+PIECE = 100_000
+
+
+def placed(rows: DataFrame, order: str, name: str = "i") -> DataFrame:
+    """rows with their 0-based place by a numeric column, null first, without one task for all.
+
+    Pieces of the column's range are counted, the counts are put in one order, and
+    rows are numbered within their piece.
+    """
+    cut = rows.withColumn("_piece", F.floor(F.col(order) / PIECE))
+    counts = cut.groupBy("_piece").agg(F.count("*").alias("_n"))
+    along = W.orderBy(F.col("_piece").asc_nulls_first()).rowsBetween(W.unboundedPreceding, -1)
+    before = counts.select(F.col("_piece").alias("_p"), F.coalesce(F.sum("_n").over(along), F.lit(0)).alias("_before"))
+    within = F.row_number().over(W.partitionBy("_piece").orderBy(F.col(order).asc_nulls_first()))
+    numbered = cut.withColumn("_in", within).join(before, F.col("_piece").eqNullSafe(F.col("_p")))
+    return numbered.withColumn(name, F.col("_before") + F.col("_in") - 1).drop("_piece", "_p", "_before", "_in")
+
+
 def round_robin(rows: DataFrame, order: str, n: int) -> DataFrame:
-    return rows.withColumn("part", ((F.row_number().over(W.orderBy(order)) - 1) % n).cast("int"))
+    return placed(rows, order, "_i").withColumn("part", (F.col("_i") % n).cast("int")).drop("_i")
 
 
 def contiguous(rows: DataFrame, order: str, n: int) -> DataFrame:
-    return rows.withColumn("part", (F.ntile(n).over(W.orderBy(order)) - 1).cast("int"))
+    """n runs of equal length, of which the first ones have one row more."""
+    total = rows.agg(F.count("*").alias("_all"))
+    longer = F.col("_all") % n
+    size = F.floor(F.col("_all") / n)
+    part = F.when(F.col("_i") < longer * (size + 1), F.floor(F.col("_i") / (size + 1))).otherwise(longer + F.floor((F.col("_i") - longer * (size + 1)) / F.greatest(size, F.lit(1))))
+    return placed(rows, order, "_i").crossJoin(F.broadcast(total)).withColumn("part", part.cast("int")).drop("_i", "_all")
 
 
 def greedy_bins(items: DataFrame, n: int) -> DataFrame:

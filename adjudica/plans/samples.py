@@ -70,7 +70,7 @@ def holdout_sample(spark, table):
     n = table("documents").count()
     picked = sampling.exact_choice(n, 64, 7)
     index = spark.createDataFrame([(int(i), k) for k, i in enumerate(picked)], "i long, k int")
-    rows = table("documents").select("doc_id").withColumn("i", F.row_number().over(W.orderBy("doc_id")) - 1)
+    rows = sampling.placed(table("documents").select("doc_id"), "doc_id")
     return rows.join(F.broadcast(index), "i").withColumn("digest", F.lit(sampling.array_digest(picked)))
 
 
@@ -208,7 +208,7 @@ def probe_plan(spark, table):
 @query("WITH l AS (SELECT doc_id AS seq_idx, quality FROM labels), n AS (SELECT *, row_number() OVER (ORDER BY seq_idx) - 1 AS i FROM l) SELECT seq_idx, ((i // 16) % 4)::int AS device, quality FROM n")
 def scatter_gather(spark, table):
     """Batches go round the devices; results come back by sequence."""
-    rows = table("labels").select(F.col("doc_id").alias("seq_idx"), "quality").withColumn("i", F.row_number().over(W.orderBy("seq_idx")) - 1)
+    rows = sampling.placed(table("labels").select(F.col("doc_id").alias("seq_idx"), "quality"), "seq_idx")
     sent = rows.select("seq_idx", (packing.batch_of(F.col("i"), 16) % 4).cast("int").alias("device")).repartition(4, "device")
     return sent.join(rows.select("seq_idx", "quality"), "seq_idx")
 

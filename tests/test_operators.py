@@ -241,3 +241,13 @@ def test_ingest_command_line(spark, tmp_path, capsys):
     assert capsys.readouterr().out == "2 shards, 48 tokens\n"
     assert sorted(p.name for p in (tmp_path / "out").glob("*.npy")) == ["p1-a-000000.npy", "p1-b-000000.npy"]
     assert ingest_cli.main([str(tmp_path / "in"), "", "--dry-run", "--one-shard-per-source"]) == 0
+
+
+def test_places_do_not_depend_on_pieces(spark, monkeypatch):
+    values = [None, *range(0, 700, 7)]
+    rows = spark.createDataFrame([(v,) for v in values], "id long")
+    for piece in (10, 250, 10_000):
+        monkeypatch.setattr(sampling, "PIECE", piece)
+        assert [r.id for r in sampling.placed(rows, "id").orderBy("i").collect()] == values
+        sizes = sampling.contiguous(rows, "id", 7).groupBy("part").count().orderBy("part").collect()
+        assert [r["count"] for r in sizes] == [15, 15, 15, 14, 14, 14, 14]
