@@ -71,6 +71,7 @@ def link_blocks(
     near: Callable | None = None,
     prepare: Callable[[DataFrame], None] | None = None,
     describe: Callable[[DataFrame], DataFrame] | None = None,
+    hopeful: Callable | None = None,
     closer: Callable | None = None,
     describe_late: Callable[[], DataFrame] | None = None,
 ) -> DataFrame:
@@ -83,7 +84,7 @@ def link_blocks(
     cheap necessary condition on two accessors of columns; those are by id in what
     describe or describe_late returns. describe makes them from the ids (id) that the
     first star leaves open, for a second star; its column ``met`` tells how much a row shares with others at most, and rows
-    that ``near`` keeps even from themselves link with nothing. closer is a further
+    that are not hopeful, by one accessor, link with nothing. closer is a further
     necessary condition that also reads ``core``, what a row shares with its block's
     second hub.
 
@@ -114,7 +115,7 @@ def link_blocks(
     info = describe_late() if describe_late is not None else None
     if describe is not None:
         info = describe(rest.select("id").distinct())
-        own = rest.join(info, "id").where(near(F.col, F.col))
+        own = rest.join(info, "id").where(hopeful(F.col))
         middle = own.groupBy("block").agg(F.max_by("id", "met").alias("middle"))
         starred = scratch.save(own.select("block", "id", "hub").join(middle, "block"))
         told = scratch.save(verify(_pairs(starred.where("id <> middle"), "middle")))

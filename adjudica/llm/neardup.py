@@ -145,6 +145,11 @@ def may_link(x, y):
     return F.least(x("met"), y("met")) * (100 + PERCENT) >= (x("n") + y("n")) * PERCENT
 
 
+def may_link_any(x):
+    """Necessary for a link with any row: the intersection is at least that share of the row itself."""
+    return x("met") * 100 >= x("n") * PERCENT
+
+
 def may_link_beside(x, y):
     """The same bound taken apart: inside the set of the block's hub, and outside of it.
 
@@ -191,7 +196,7 @@ def near_duplicates(documents: DataFrame, scratch: Scratch | None = None) -> Dat
         sizes = sets[0].join(ids, "id", "left_semi").select("id", F.size("shingles").cast("long").alias("n"))
         return scratch.save(sizes.join(met, "id", "left").select("id", "n", F.coalesce("met", F.lit(0).cast("long")).alias("met")))
 
-    groups = link_blocks(members, verify, scratch, near=may_link, prepare=prepare, describe=describe, closer=may_link_beside)
+    groups = link_blocks(members, verify, scratch, near=may_link, prepare=prepare, describe=describe, hopeful=may_link_any, closer=may_link_beside)
     # Names of components, by class first: at most one row per class meets here.
     groups = groups.select(F.col("id").alias("set_id"), "component")
     named = classes.select("set_id", "first").join(groups, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))

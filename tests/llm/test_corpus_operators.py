@@ -85,6 +85,26 @@ def test_near_duplicates_equal_brute_force(spark):
     assert kept == sorted(i for i in want if want[i] == i)
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_near_duplicates_of_one_base_around_the_threshold(spark, seed):
+    """Cut and edited copies on both sides of 0.75, so that stars leave much open: groups and recall as by all pairs."""
+    rng = np.random.default_rng(seed)
+    base = list(rng.choice(VOCABULARY, 140))
+    texts = []
+    for _ in range(70):
+        a, n = rng.integers(0, 40), rng.integers(75, 141)
+        words = base[a : a + n]
+        for i in rng.integers(0, len(words), rng.integers(0, 4)):
+            words[i] = f"x{rng.integers(3)}"
+        texts.append(" ".join(words))
+    sets = [shingle_set(t) for t in texts]
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
+    want = roots(range(len(texts)), links)
+    assert len(set(want.values())) > 2
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(documents(spark, texts)).collect()}
+    assert got == want
+
+
 def test_near_duplicates_repeated_rows_nulls_and_empty(spark):
     text = prose(40)
     docs = documents(spark, [text, text, text, None, None], [3, 3, None, 5, None])
@@ -380,3 +400,56 @@ def test_pipeline_stages(spark, tmp_path):
                 w = terms(r.text)
                 assert not any(tuple(w[i : i + 10]) in grams for i in range(len(w) - 9))
         docs = kept
+
+
+def test_pipeline_stages_on_odd_rows(spark, tmp_path):
+    """Nulls, empty texts, ties, repeated rows and columns with the operators' own names, by brute force where rows are few."""
+    import corpus_pipeline
+
+    sf = str(tmp_path)
+    line, other = prose(30), prose(30)
+    bad = "zorgful snarkbane " + prose(10)
+    texts = [(1, line + "\n" + other), (2, line), (2, line), (3, None), (4, ""), (5, edited(other, 1) + "\n" + prose(25)), (None, prose(22)), (6, "benchmark words " * 8), (7, bad)]
+    texts += [(100 + i, f"zorgful snarkbane {prose(12)}" if i % 2 else prose(12)) for i in range(60)]
+    docs = documents(spark, [t for _, t in texts], [i for i, _ in texts], ["a" if n % 2 else None for n in range(len(texts))])
+    for c in ("toxicity_score", "n_lines", "n_removed", "group", "line", "places", "component_id", "kept", "text_hash", "size", "target", "copies", "score", "item"):
+        docs = docs.withColumn(c, F.lit(f"own {c}"))
+    spark.createDataFrame([(100 + i, 1, i % 2) for i in range(60)] + [(1, None, None), (2, 1, 0), (2, 1, 0), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame([("x", "benchmark words " * 5), ("y", None), (None, "")], "item_id string, text string").write.parquet(f"{sf}/benchmark.parquet")
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf)
+        out.write.parquet(f"{sf}/{name}")
+        before, docs = docs, spark.read.parquet(f"{sf}/{name}")
+        assert docs.columns == before.columns
+        assert docs.where("toxicity_score <> 'own toxicity_score' or n_lines <> 'own n_lines' or kept <> 'own kept' or copies <> 'own copies'").isEmpty()
+        old, kept[name] = [(r.doc_id, r.text) for r in before.collect()], Counter((r.doc_id, r.text) for r in docs.collect())
+        if name == "toxicity":
+            toxic = lambda t: "zorgful" in (t or "")
+            assert kept[name] == Counter(x for x in old if not toxic(x[1]))
+        if name == "line_dedup":
+            want, _ = lines_brute(list(dict.fromkeys(old)))
+            cut = dict(zip(dict.fromkeys(old), want, strict=True))
+            assert kept[name] == Counter((d, cut[d, t]) for d, t in old if cut[d, t] == t or (cut[d, t] or "").strip())
+        if name == "near_duplicates":
+            assert kept[name][3, None] == kept[name][4, ""] == 1 and max(kept[name].values()) == 1
+        if name == "decontamination":
+            assert Counter(old) - kept[name] == Counter({(6, "benchmark words " * 8): 1})
+    left = spark.read.parquet(f"{sf}/decontamination")
+    words = sum(len((r.text or "").split()) for r in left.collect())
+    taken = sum(len(t.split()) * n for (_, t), n in kept["mixing"].items())
+    assert abs(taken - words) < 60 and (3, None) not in kept["mixing"]
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.where("false"), sf).isEmpty()
+
+
+def test_scratch_holds_live_tables_only(spark):
+    """A stage's tables go when the next one starts, unless its input reads them."""
+    from adjudica.llm.common import sweep
+
+    a, b = Scratch(spark, "t"), Scratch(spark, "t")
+    docs, stale = a.save(spark.range(3).toDF("id")), b.save(spark.range(3).toDF("id"))
+    sweep(docs)
+    assert docs.count() == 3 and a in Scratch.opened and b not in Scratch.opened
+    with pytest.raises(Exception, match="(?i)not.?exist|no such|not found"):
+        spark.read.parquet(stale._scratch_path).count()

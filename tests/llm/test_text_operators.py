@@ -250,6 +250,19 @@ def test_toxicity_held_out(spark):
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     rows = op7_toxicity(spark, sf).join(labels, "doc_id").where("held_out").select("predicted", "toxic").collect()
     assert np.mean([r.predicted == r.toxic for r in rows]) > 0.95
+    hit = sum(r.predicted == r.toxic == 1 for r in rows)
+    assert hit >= 0.6 * sum(r.toxic == 1 for r in rows) > 0 and hit >= 0.8 * sum(r.predicted == 1 for r in rows)
+
+
+def test_toxicity_of_odd_labels(spark):
+    """Rows without a label teach nothing, repeated ones count each, and a null id is never held out."""
+    plain = [(i, f"a plain sentence number {i} about many things", 0) for i in range(60)]
+    nasty = [(100 + i, f"you are a zorgful {i} in many things", 1) for i in range(60)]
+    docs = documents(spark, [t for _, t, _ in plain + nasty] + ["zorgful"])
+    labels = spark.createDataFrame([(i, y) for i, (_, _, y) in enumerate(plain + nasty)] * 2 + [(None, 1), (120, None)], "doc_id long, toxic int")
+    rows = toxicity.training_rows(docs, labels)
+    assert rows.where("toxic is null or doc_id is null").isEmpty()
+    assert "zorgful" in toxicity.learn(rows).weights
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 5, 8, 10, 13])
