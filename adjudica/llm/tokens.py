@@ -50,6 +50,8 @@ def byte_alphabet() -> dict[str, int]:
 def read_vocabulary(path: str) -> tuple[set[bytes], set[bytes]]:
     """Pieces that begin a word, and pieces that continue one, of a byte-level JSON vocabulary."""
     letters = byte_alphabet()
+    if not os.path.exists(path):
+        raise FileNotFoundError(f"no vocabulary at {path}; give the path of a byte-level tokenizer file (ADJUDICA_VOCABULARY for the query)")
     with open(path, encoding="utf-8") as f:
         entries = json.load(f)["model"]["vocab"]
     first, rest = set(), set()

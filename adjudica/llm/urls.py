@@ -3,7 +3,7 @@
 Every rule has a regular expression and the literal tokens that any URL it
 matches must hold. Tokens of all URLs are counted, each rule is filed under its
 rarest one, URL tokens fetch candidate rules, and regular expressions run on
-those candidates only. Of the rules that match, host rules win over patterns and
+those candidates only. A rule without a literal token is a candidate for every URL. Of the rules that match, host rules win over patterns and
 the longer rule wins within a kind.
 
 The work is done once per distinct URL, so copies of one URL cost one row.
@@ -12,7 +12,8 @@ beyond that the same join shuffles by token.
 
 Defined results: a null url, or one without ``://``, has empty host and path, no
 rule and the verdict allow; an empty table gives an empty result; repeated rows
-are judged alike; other columns of the input stay beside the new ones.
+are judged alike; other columns of the input stay beside the new ones, but those
+with the name of a new one (host, path, rule, pattern, verdict) are replaced.
 """
 
 from __future__ import annotations
@@ -43,7 +44,7 @@ class Rule:
 def host_rule(verdict: str, host: str, path: str) -> Rule:
     """Fits the host and its subdomains where the path starts with ``path``."""
     pattern = rf"^(?:[^/?#]*\.)?(?i:{re.escape(host)}){re.escape(path)}"
-    tokens = tuple(t for t in re.findall(r"[a-z0-9]+", host))
+    tokens = tuple(re.findall(r"[a-z0-9]+", host.lower()))
     return Rule(host + path, verdict, pattern, tokens, 0)
 
 
@@ -100,10 +101,13 @@ def judge_urls(pages: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     spark = pages.sparkSession
     rules = HOST_RULES + PATTERN_RULES if rules is None else rules
     urls = pages.select("url").where("url is not null").distinct()
-    seen = urls.select("url", F.explode(tokens_of(F.col("url"))).alias("token"))
+    tokens = tokens_of(F.col("url"))
+    if any(not r.tokens for r in rules):  # the empty token is in every URL
+        tokens = F.array_append(tokens, "")
+    seen = urls.select("url", F.explode(tokens).alias("token"))
     schema = "rule_id int, name string, rule_verdict string, pattern string, kind int, rank int, tokens array<string>"
     table = spark.createDataFrame(
-        [(i, r.name, r.verdict, r.pattern, r.kind, len(r.name), list(r.tokens)) for i, r in enumerate(rules)], schema
+        [(i, r.name, r.verdict, r.pattern, r.kind, len(r.name), [t.lower() for t in r.tokens] or [""]) for i, r in enumerate(rules)], schema
     )
     # Each rule's rarest token, by how many distinct URLs hold it.
     wanted = table.select("rule_id", F.explode("tokens").alias("token"))

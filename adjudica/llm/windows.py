@@ -35,7 +35,3 @@ def steps(n: int) -> list[tuple[int, int, int]]:
         size += tail
         made.add(size)
     return out
-
-
-def tail_of(step: tuple[int, int, int]) -> int:
-    return step[0] - step[1]

@@ -152,6 +152,13 @@ def test_url_rules(spark):
     assert urls.judge_urls(pages.limit(0)).count() == 0
 
 
+def test_url_rules_without_tokens_and_in_capitals(spark):
+    rules = [urls.host_rule("block", "Example.ORG", "/"), urls.pattern_rule("digits", "block", r"^[^/]*/[0-9]+$")]
+    pages = spark.createDataFrame([(1, "http://a.example.org/x"), (2, "http://b.com/123"), (3, "http://b.com/x"), (4, None)], "page_id long, url string")
+    pages = pages.withColumn("verdict", F.lit("old"))
+    assert {r.page_id: r.verdict for r in urls.judge_urls(pages, rules).collect()} == {1: "block", 2: "block", 3: "allow", 4: "allow"}
+
+
 def greedy(word, first, rest):
     n, at, pieces = 0, 0, first
     while at < len(word):
