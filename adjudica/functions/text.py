@@ -20,6 +20,7 @@ TRANSIENT = [
     "connection reset", "connecterror", "readerror", "remoteprotocolerror", "streamconsumed", "streamclosed",
     "streamerror", "peer closed connection", "incomplete chunked", "incompleteread", "503", "502", "504",
 ]
+# What failed shard downloads say.
 SHARD_DOWNLOAD = ["failed to download shard", "s3 shard download failed", "retriesexceeded", "max retries exceeded"]
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# States of a benchmark, and those after which nothing more comes.
 STATUSES = ["completed", "completed_no_metric", "failed", "missing", "running", "pending"]
 TERMINAL = ["completed", "missing"]
 # Benchmark label, task, shots and metric names in order of preference.
