@@ -102,34 +102,35 @@ def js_rows(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 class Bank:
-    """Ordered decisions over one (version, key, shape): compare, merge families, store, trim."""
+    """Ordered decisions: compare within one (version, key, shape), merge families, store, trim over all keys."""
 
     def __init__(self, max_entries: int = MAX_ENTRIES, max_similar: int = MAX_SIMILAR, limit: float = JS_LIMIT):
         self.max_entries, self.max_similar, self.limit = max_entries, max_similar, limit
         self.rows: list[dict] = []
 
-    def offer(self, digest: str, submission: str, logits: np.ndarray) -> dict:
-        own = next((r for r in self.rows if r["digest"] == digest), None)
+    def offer(self, digest: str, submission: str, logits: np.ndarray, key: tuple = ()) -> dict:
+        peers = [r for r in self.rows if r["key"] == key]
+        own = next((r for r in peers if r["digest"] == digest), None)
         if own and own["submission"] == submission:
-            family = sum(r["group"] == own["group"] for r in self.rows)
+            family = sum(r["group"] == own["group"] for r in peers)
             return {"detected": False, "stored": True, "too_similar": False, "family": family, "compared": 0, "match": None, "js": None}
         groups, best = set(), None
-        for r in reversed(self.rows):
+        for r in reversed(peers):
             js = float(np.quantile(js_rows(r["logits"], logits), 0.95))
             if best is None or js < best[0]:
                 best = (js, r)
             if js <= self.limit:
                 groups.add(r["group"])
-        family = sum(r["group"] in groups for r in self.rows)
+        family = sum(r["group"] in groups for r in peers)
         group = best[1]["group"] if groups else digest
         if len(groups) > 1:  # one family from now on, even if this row is turned away
-            for r in self.rows:
+            for r in peers:
                 if r["group"] in groups:
                     r["group"] = group
         detected = bool(groups) and family >= self.max_similar
-        compared = len(self.rows)
+        compared = len(peers)
         if not detected and own is None:
-            self.rows.append({"digest": digest, "submission": submission, "logits": logits, "group": group})
+            self.rows.append({"key": key, "digest": digest, "submission": submission, "logits": logits, "group": group})
             self.rows = self.rows[-self.max_entries :]
         return {
             "detected": detected, "stored": not detected, "too_similar": bool(groups), "family": family, "compared": compared,
@@ -138,23 +139,27 @@ class Bank:
 
 
 def fold_bank(arrivals: DataFrame, keys: list[str], max_similar: int = MAX_SIMILAR, limit: float = JS_LIMIT) -> DataFrame:
-    """Decisions on arrivals (keys, ord, digest, submission, logits) in order; one ordered fold per bank key.
+    """Decisions on arrivals (keys, ord, digest, submission, logits) in order.
 
-    State is bounded by MAX_ENTRIES rows; the next decision needs the one before.
+    One ordered fold over all keys, as the bank is trimmed over all of them and the next
+    decision needs the one before: rows stream through one task in sorted batches, and the
+    state is MAX_ENTRIES rows. Arrivals are submissions, not a corpus.
     """
     names = ["ord", "digest", "detected", "stored", "too_similar", "family", "compared", "match", "js"]
     kinds = "ord long, digest string, detected boolean, stored boolean, too_similar boolean, family int, compared int, match string, js double"
 
-    def run(pdf):
+    def run(batches):
         import pandas as pd
 
-        bank, out = Bank(max_similar=max_similar, limit=limit), []
-        for r in pdf.sort_values("ord").itertuples():
-            d = bank.offer(r.digest, r.submission, np.asarray(r.logits, np.float32).reshape(1, -1))
-            out.append((r.ord, r.digest, d["detected"], d["stored"], d["too_similar"], d["family"], d["compared"], d["match"], d["js"]))
-        return pd.DataFrame(out, columns=names)
+        bank = Bank(max_similar=max_similar, limit=limit)
+        for pdf in batches:
+            out = []
+            for r in pdf.to_dict("records"):
+                d = bank.offer(r["digest"], r["submission"], np.asarray(r["logits"], np.float32).reshape(1, -1), tuple(r[k] for k in keys))
+                out.append((r["ord"], r["digest"], d["detected"], d["stored"], d["too_similar"], d["family"], d["compared"], d["match"], d["js"]))
+            yield pd.DataFrame(out, columns=names)
 
-    return arrivals.groupBy(*keys).applyInPandas(run, kinds)
+    return arrivals.select(*keys, "ord", "digest", "submission", "logits").repartition(1).sortWithinPartitions("ord").mapInPandas(run, kinds)
 
 
 def modal_share(rows: DataFrame, value: Column) -> DataFrame:

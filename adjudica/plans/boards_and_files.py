@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import listings
 from ..sources import tensors
 from ..sources.shared import shared_folder
+from ..sources.views import register_views
 from .registry import query
 
 NAMES = ["config.json", "model.safetensors.index.json", "model-00001-of-00002.safetensors", "model-00002-of-00002.safetensors"]
@@ -107,3 +108,14 @@ def tensor_headers(spark, table):
     low = F.unhex(F.concat(F.lpad(F.hex(F.octet_length("h") % 256), 2, "0"), F.lpad(F.hex(F.floor(F.octet_length("h") / 256)), 2, "0"), F.lit("000000000000")))
     files = table("part").select(F.col("p_partkey").cast("string").alias("path"), header.alias("h"), "p_name")
     return tensors.tensor_digests(files.select("path", F.concat(low, F.encode("h", "utf-8"), F.encode("p_name", "utf-8")).alias("content")), 16)
+
+
+SUMMARY = """SELECT {d}.source, count(*) AS n, sum(CASE WHEN {l}.toxic = 1 THEN 1 ELSE 0 END) AS n_toxic
+FROM {d} LEFT JOIN {l} ON {l}.doc_id = {d}.doc_id GROUP BY {d}.source"""
+
+
+@query(SUMMARY.format(d="documents", l="labels"))
+def sql_surface(spark, table):
+    """The tables as temporary views, asked in SQL."""
+    register_views(spark, [(n, table(n)) for n in ("documents", "labels")], "adjudica_")
+    return spark.sql(SUMMARY.format(d="adjudica_documents", l="adjudica_labels"))

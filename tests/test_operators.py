@@ -95,6 +95,9 @@ def test_bank_rules():
     for i in range(5):
         bank.offer(f"o{i}", "z", rng.normal(size=(1, 16)).astype(np.float32) * 3)
     assert len(bank.rows) == 3
+    # Other keys are not compared, but take room.
+    assert bank.offer("d1", "s9", x, ("v2",))["compared"] == 0
+    assert len(bank.rows) == 3 and sum(r["key"] == ("v2",) for r in bank.rows) == 1
 
 
 def test_divergence_of_equal_and_swapped(spark):
