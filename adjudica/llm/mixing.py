@@ -15,7 +15,7 @@ one source, size class and hash range. Piece counts are summed first (a few rows
 for each shuffle partition), so no source, however large, meets in one task, and
 the order does not depend on how many pieces there are.
 
-Defined results: null and empty texts have size 0 and take nothing; a table or
+Defined results: null and empty texts have size 0 and are not emitted; a table or
 source without words has target 0; repeated rows of one id stand side by side in
 the order and each has its own share; extra columns stay as they are.
 """
@@ -108,7 +108,7 @@ def mix_sources(documents: DataFrame) -> DataFrame:
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     offset = hash32(F.concat(F.lit(SEED), F.coalesce("source", F.lit("")))) / RANGE
     copies = F.floor(F.col("rank") * rate + offset) - F.floor((F.col("rank") - 1) * rate + offset)
-    return joined.select("doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"))
+    return joined.select("doc_id", "source", "size", "source_size", "target", F.when(F.col("size") > 0, copies).otherwise(0).cast("long").alias("copies"))
 
 
 def take(documents: DataFrame) -> DataFrame:
