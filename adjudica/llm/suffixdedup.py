@@ -14,8 +14,8 @@ range, so that a very common passage spreads over many tasks, drops what is uniq
 goes on with the rest at twice the length:
 Round 0: GRAM bytes, in the document, by doubling 1, 2, 4, 8, 16; it chooses.
 Rounds 1 to 4: 64 bytes, then those 64 behind them, 128 behind those, and the last 17,
-  400 - STRETCH + 1 bytes in all. A row carries short names of the pieces to come, so
-  that no round reads a text again.
+  400 - STRETCH + 1 bytes in all. A row carries 16-bit names of the pieces to come, so
+  that no round reads a text again; what such a name fails to part, round 5 does.
 Round 5: the rank is paired with that of the STRETCH + 399 bytes around the
   position, past the threshold. Where this pair is repeated, all 400-byte strings
   that start in the stretch are, and they are settled.
@@ -124,10 +124,10 @@ def ranked(documents: DataFrame) -> DataFrame:
                 a, b = PIECES[0]
                 columns = [pa.array(np.fromiter((name(view[p + a : p + b]) for p in at), np.uint64, n).view(np.int64))]
                 columns += [pa.array(keys[row], pa.int64()), pa.array((places - offsets[row]).astype(np.int32))]
-                columns += [pa.array(np.fromiter((short(view[p + a : p + b]) for p in at), np.uint32, n).view(np.int32)) for a, b in PIECES[1:]]
+                columns += [pa.array(np.fromiter((short(view[p + a : p + b]) for p in at), np.uint32, n).astype(np.uint16).view(np.int16)) for a, b in PIECES[1:]]
                 yield pa.RecordBatch.from_arrays(columns, ["rank", "text_hash", "place", *NEXT])
 
-    return documents.select("text_hash", "data").mapInArrow(scan, "rank long, text_hash long, place int, " + ", ".join(f"{c} int" for c in NEXT))
+    return documents.select("text_hash", "data").mapInArrow(scan, "rank long, text_hash long, place int, " + ", ".join(f"{c} short" for c in NEXT))
 
 
 NEXT = [f"piece_{i}" for i in range(1, len(PIECES))]
