@@ -7,10 +7,11 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, linededup, mixing, neardup, pii, quality, suffixdedup, tokens, toxicity, urls
+from . import alignment, decontaminate, kdmeans, linededup, mixing, neardup, packing, pii, quality, suffixdedup, tokens, toxicity, urls
 from .oracles import ORACLE_SQL
 
 VOCABULARY = os.environ.get("ADJUDICA_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.json")
+PIECES = os.environ.get("ADJUDICA_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,11 +76,25 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixdedup.report_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(_table(spark, sf_dir, "documents").select("doc_id", "text"), VOCABULARY)
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"), VOCABULARY, PIECES)
+
+
+def op13_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kdmeans.report_clusters(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_pii, op2_url_filter, op3_token_counts, op4_near_duplicates, op5_quality,
         op6_mixing, op7_toxicity, op8_line_dedup, op9_decontamination, op10_suffix_dedup,
+        op11_packing, op12_alignment, op13_clustering,
     )
 }
 
