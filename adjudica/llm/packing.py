@@ -43,7 +43,11 @@ PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, seq
 
 @dataclass(frozen=True)
 class Slot:
-    """Rests of length ``rest`` and ranks first to last - 1 put ``length`` tokens from ``start`` on into sequence + rank - first, at ``offset``."""
+    """Where rests of length ``rest`` and ranks first to last - 1 put ``length`` of their tokens, those from ``start`` on.
+
+    They are the items from ``nth`` on of a plan that lays ``each`` of them side by side,
+    from ``offset`` on, into every sequence from ``sequence`` on.
+    """
 
     rest: int
     first: int
@@ -52,6 +56,13 @@ class Slot:
     length: int
     sequence: int
     offset: int
+    each: int
+    nth: int
+
+    def place(self, rank: int) -> tuple[int, int]:
+        """(sequence, offset) of a rank."""
+        window, side = divmod(self.nth + rank - self.first, self.each)
+        return self.sequence + window, self.offset + side * self.length
 
 
 def closest(counts: dict[int, int], room: int) -> dict[int, int]:
@@ -105,11 +116,11 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[Slot],
     rests, slots, made = Rests(counts), [], 0
     tokens = sum(n * c for n, c in counts.items())
 
-    def lay(runs, length: int, offset: int) -> None:
-        at = made
+    def lay(runs, length: int, offset: int, each: int) -> None:
+        nth = 0
         for rest, first, last, start in runs:
-            slots.append(Slot(rest, first, last, start, length, at, offset))
-            at += last - first
+            slots.append(Slot(rest, first, last, start, length, made, offset, each, nth))
+            nth += last - first
 
     def window(room: int, times: int | None) -> int:
         """Fill one window, ``times`` times or as often as it goes; the number of times."""
@@ -126,12 +137,11 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[Slot],
         times = times or min(rests.counts[n] // c for n, c in uses.items())
         offset = 0
         for length in sorted(chosen, reverse=True):
-            for _ in range(chosen[length]):
-                lay(rests.take(length, times), length, offset)
-                offset += length
+            lay(rests.take(length, times * chosen[length]), length, offset, chosen[length])
+            offset += length * chosen[length]
         if cut:
             runs = rests.take(cut, times)
-            lay(runs, slack, offset)
+            lay(runs, slack, offset, 1)
             for rest, first, last, start in runs:
                 rests.put(cut - slack, (rest, first, last, start + slack))
         return times
@@ -207,10 +217,11 @@ def pack(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: in
     counts = {r["rest"]: int(r["n"]) for r in groups.where("rest > 0").groupBy("rest").agg(F.sum("n_rests").alias("n")).collect()}
     full = int(groups.agg(F.coalesce(F.sum("windows"), F.lit(0)).alias("n")).first()["n"])
     slots, _ = plan(counts, capacity)
-    by_rest: dict[int, list] = {}
+    by_rest: dict[int, list[Slot]] = {}
     for s in slots:
-        by_rest.setdefault(s.rest, []).append((s.first, s.last, s.start, s.length, s.sequence + full, s.offset))
-    shipped = spark.sparkContext.broadcast({rest: np.array(sorted(found), np.int64) for rest, found in by_rest.items()})
+        by_rest.setdefault(s.rest, []).append(s)
+    # A few slots for each length; see the module's text.
+    shipped = spark.sparkContext.broadcast({rest: (found, np.array([(s.first, s.last) for s in found], np.int64)) for rest, found in by_rest.items()})
 
     def run(batches):
         table = shipped.value
@@ -224,10 +235,10 @@ def pack(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: in
                     at = i * capacity
                     out.append((doc_id, at, capacity, ids[4 * at : 4 * (at + capacity)], n, window_base + before + i, 0))
                 if rest:
-                    rank, found = nth + rank_base, table[rest]
-                    for first, _, start, length, sequence, offset in found[(found[:, 0] <= rank) & (rank < found[:, 1])].tolist():
-                        at = whole + start
-                        out.append((doc_id, at, length, ids[4 * at : 4 * (at + length)], n, sequence + rank - first, offset))
+                    rank, (found, bounds) = nth + rank_base, table[rest]
+                    for k in np.flatnonzero((bounds[:, 0] <= rank) & (rank < bounds[:, 1])).tolist():
+                        at, length, (sequence, offset) = whole + found[k].start, found[k].length, found[k].place(rank)
+                        out.append((doc_id, at, length, ids[4 * at : 4 * (at + length)], n, full + sequence, offset))
             for i in range(0, len(out), 4096):
                 part = list(zip(*out[i : i + 4096], strict=True))
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
