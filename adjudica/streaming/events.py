@@ -107,6 +107,16 @@ def sessions(events: DataFrame, ts: str, gap: str, key: str) -> DataFrame:
     return events.groupBy(F.session_window(ts, gap).alias("w"), key).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
+class Appended:
+    """A batch sink whose rows lie in a folder for each batch, so that a replayed batch replaces its own rows."""
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def __call__(self, rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.path}/_batch={batch}")
+
+
 def drain(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
     """Run a stream over all that is there into a Parquet table in the shared folder, and read it.
 
@@ -114,11 +124,14 @@ def drain(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
     ``append``; nothing is held by the driver.
     """
     spark, folder = stream.sparkSession, shared_folder(stream.sparkSession, name)
-    write = "overwrite" if mode == "complete" else "append"
 
-    def put(rows: DataFrame, _: int) -> None:
-        rows.write.mode(write).parquet(f"{folder}/table")
+    def replace(rows: DataFrame, _: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/table")
 
+    put = replace if mode == "complete" else Appended(f"{folder}/table")
     run = stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{folder}/table")
+    found = spark.read.schema(stream.schema)
+    if mode != "complete":
+        found = found.option("recursiveFileLookup", "true")
+    return found.parquet(f"{folder}/table")
