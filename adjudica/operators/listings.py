@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from ..sources.versions import Versions
+
 #: A repository's answer: files with a digest each, and candidate dates.
 LISTING = "repo string, lastModified string, createdAt string, siblings array<struct<rfilename: string, blobId: string, lfs: struct<sha256: string>>>"
 
@@ -115,23 +117,31 @@ STATE = ["queue", "history", "king", "chain", "seen_hotkeys", "completed_digests
 
 
 def flush_state(documents: dict[str, DataFrame], folder: str) -> None:
-    """Each document as a JSON table below ``folder``, replaced whole; the commit renames, so a reader sees old or new."""
+    """These documents as JSON tables below ``folder``, replaced together; a reader sees all old ones or all new ones."""
     if unknown := set(documents) - set(STATE):
         raise ValueError(f"no such documents: {sorted(unknown)}")
-    for name, rows in documents.items():
-        rows.coalesce(1).write.mode("overwrite").json(f"{folder}/{name}")
+    if documents:
+        spark = next(iter(documents.values())).sparkSession
+        Versions(spark, folder, "json").flush(documents)
 
 
 def load_state(spark: SparkSession, folder: str, schemas: dict[str, T.StructType]) -> dict[str, DataFrame]:
-    return {name: spark.read.schema(schema).json(f"{folder}/{name}") for name, schema in schemas.items()}
+    """Documents of one version; one that was never written is empty."""
+    state = Versions(spark, folder, "json")
+    at = state.current()
+    return {name: found if (found := state.read(name, schema, at)) is not None else spark.createDataFrame([], schema) for name, schema in schemas.items()}
 
 
 def reset_champion(spark: SparkSession, folder: str, schema: T.StructType, dry_run: bool = True) -> DataFrame:
-    """Backup of the champion's document, then an empty one in its place; a dry run only shows what would go."""
-    king = spark.read.schema(schema).json(f"{folder}/king")
+    """Backup of the champion's document and an empty one in its place, both at once; a dry run only shows what would go.
+
+    A backup that is already there is an error.
+    """
+    state = Versions(spark, folder, "json")
+    king = load_state(spark, folder, {"king": schema})["king"]
     if dry_run:
         return king
-    king.write.mode("errorifexists").json(f"{folder}/king-backup")
-    backup = spark.read.schema(schema).json(f"{folder}/king-backup")
-    flush_state({"king": backup.where("false")}, folder)
-    return backup
+    if "king-backup" in state.current().tables:
+        raise FileExistsError(f"{folder} has a backup of the champion")
+    state.flush({"king-backup": king, "king": king.where("false")})
+    return state.read("king-backup", schema)

@@ -6,31 +6,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .sampling import rotate, with_pieces
 
-def words(text: Column) -> Column:
-    return F.split(text, r"\s+")
+# Fixed value: files that one sample may take.
+MAX_FILES = 8
 
 
-#: Rows of a stream are summed in pieces of so many order values.
-PIECE = 100_000
+def words(text: Column) -> Column:
+    return F.split(text, r"\s+")
 
 
 def token_offsets(rows: DataFrame, scope: list[str], order: list[str], tokens: str = "tokens") -> DataFrame:
     """rows with n (tokens and one end mark), start and end in their scope's stream.
 
-    The running sum is per stream. A stream is cut into pieces by its first order
-    column, a number: pieces are summed first and only their sums are put in one
-    order, so that a stream of any length is spread over many tasks.
+    The running sum is per stream. A stream is cut into pieces, by ranges of its first
+    order column that hold about equally many rows: pieces are summed first and only their
+    sums are put in one order, so that a stream of any length, and of any spread of its
+    order, is dealt over many tasks. Token arrays move once, to their piece.
     """
-    sized = rows.withColumn("n", (F.size(tokens) + 1).cast("long")).withColumn("_piece", F.floor(F.col(order[0]) / PIECE))
-    sums = sized.groupBy(*scope, "_piece").agg(F.sum("n").alias("_sum"))
-    along = W.partitionBy(*scope).orderBy("_piece").rowsBetween(W.unboundedPreceding, -1)
-    before = sums.select(*[F.col(c).alias(f"_{c}") for c in scope], F.col("_piece").alias("_p"), F.coalesce(F.sum("_sum").over(along), F.lit(0)).alias("_before"))
-    within = W.partitionBy(*scope, "_piece").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    same = F.col("_piece").eqNullSafe(F.col("_p"))
-    for c in scope:
-        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    placed = sized.withColumn("_in", F.sum("n").over(within)).join(before, same)
+    cut = with_pieces(rows.withColumn("n", (F.size(tokens) + 1).cast("long")), order[0])
+    cut = cut.withColumn("_scope", F.to_json(F.struct(*scope)))  # never null, so that the join keeps the window's partitions
+    sums = cut.groupBy("_scope", "_piece").agg(F.sum("n").alias("_sum"))
+    along = W.partitionBy("_scope").orderBy("_piece").rowsBetween(W.unboundedPreceding, -1)
+    before = sums.select("_scope", "_piece", F.coalesce(F.sum("_sum").over(along), F.lit(0)).alias("_before"))
+    within = W.partitionBy("_scope", "_piece").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    placed = cut.withColumn("_in", F.sum("n").over(within)).join(before, ["_scope", "_piece"])
     placed = placed.withColumn("end", F.col("_before") + F.col("_in")).withColumn("start", F.col("end") - F.col("n"))
     return placed.select(*rows.columns, "n", "end", "start")
 
@@ -107,3 +107,46 @@ def effective_length(length: int, multiplier: int, record: int | None = None) ->
     if record and total % record:
         raise ValueError(f"length {total} is no multiple of record length {record}")
     return total
+
+
+def pack_until(files: DataFrame, read, tokenise, n: int, length: int, start: int, max_files: int = MAX_FILES, save=None) -> tuple[DataFrame, DataFrame]:
+    """The first n windows of the files (idx, key) from ``start`` on, round to the front; and the files that they took.
+
+    read(files) gives their documents (idx, ord, text), tokenise those with ``tokens``,
+    save keeps a table out of memory. Files are tokenised in groups of one, one, two, four
+    and so on, and no further group once there are n windows, so at most twice the files
+    that are needed are looked at and never more than ``max_files``. The stream goes on
+    over the ends of files; (seq_idx, tokens) are its windows, and the second table
+    (turn, key, docs_seen) says up to which document each file was used.
+    """
+    spark = files.sparkSession
+    turns = rotate(files, start, max_files)
+    listed = sorted((r["turn"], r["idx"], r["key"]) for r in turns.collect())  # max_files rows
+    found, have, at, size = None, 0, 0, 1
+    while at < len(listed) and have < n * length:
+        group = spark.createDataFrame(listed[at : at + size], "turn long, idx long, key string")
+        rows = tokenise(read(group).select("turn", "ord", "text"))
+        rows = save(rows) if save is not None else rows
+        have += rows.agg(F.coalesce(F.sum(F.size("tokens") + 1), F.lit(0)).alias("n")).first()["n"]
+        found = rows if found is None else found.unionByName(rows)
+        at, size = at + size, max(1, at + size)
+    if found is None or have < length:
+        raise ValueError(f"{at} files give no window of {length} tokens")
+    end = min(n, have // length) * length
+    placed = token_offsets(found.withColumn("_all", F.lit(0)), ["_all"], ["turn", "ord"]).where(F.col("start") < end)
+    windows = cut(placed, length).where(F.size("tokens") == length)
+    used = placed.groupBy("turn").agg(F.count("*").alias("docs_seen"))
+    names = spark.createDataFrame([(t, k) for t, _, k in listed], "turn long, key string")
+    return windows, used.join(F.broadcast(names), "turn").select("turn", "key", "docs_seen")
+
+
+def cut(placed: DataFrame, length: int, eos: int = 0) -> DataFrame:
+    """(seq_idx, tokens) from rows (tokens, start, n) of one stream, an end mark after each: whole windows and the last one."""
+    first, last = F.floor(F.col("start") / length), F.floor((F.col("start") + F.col("n") - 1) / length)
+    each = placed.select("start", "n", F.concat("tokens", F.array(F.lit(eos).cast("long"))).alias("tokens"), F.explode(F.sequence(first, last)).alias("seq_idx"))
+    low = F.greatest(F.col("seq_idx") * length - F.col("start"), F.lit(0))
+    high = F.least((F.col("seq_idx") + 1) * length - F.col("start"), F.col("n"))
+    pieces = each.select("seq_idx", (F.col("start") + low).alias("_at"), F.slice("tokens", (low + 1).cast("int"), (high - low).cast("int")).alias("_t"))
+    # At most ``length`` pieces, of ``length`` tokens together.
+    joined = pieces.groupBy("seq_idx").agg(F.sort_array(F.collect_list(F.struct("_at", "_t"))).alias("_p"))
+    return joined.select("seq_idx", F.flatten(F.transform("_p", lambda p: p["_t"])).alias("tokens"))

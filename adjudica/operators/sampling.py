@@ -83,22 +83,48 @@ def rotate(files: DataFrame, start: int, limit: int) -> DataFrame:
     return files.withColumn("turn", (F.col("idx") - start + n) % n).where(F.col("turn") < limit)
 
 
-#: Rows are numbered in pieces of so many order values.
-PIECE = 100_000
+#: Rows of a piece, about; the most pieces; and the error of the quantiles that bound them, as a share of a piece.
+PIECE, MAX_PIECES, PIECE_ERROR = 500_000, 1000, 0.1
+
+
+def with_pieces(rows: DataFrame, order: str, size: int = PIECE) -> DataFrame:
+    """rows with ``_piece``, ranges of a numeric column that hold about ``size`` rows each, in its order; nulls are in the first.
+
+    Bounds are quantiles of the column as it is, so neither gaps nor crowds of values make
+    a piece large or pieces many. The driver gets one bound for each piece.
+    """
+    n = rows.count()
+    pieces = min(-(-n // size), MAX_PIECES)
+    if pieces <= 1:
+        return rows.withColumn("_piece", F.lit(0))
+    at = [i / pieces for i in range(1, pieces)]
+    bounds = rows.select(F.percentile_approx(order, at, int(pieces / PIECE_ERROR)).alias("b")).first()["b"]
+    return rows.withColumn("_piece", _below(F.col(order), sorted(set(bounds or []))))
+
+
+def _below(value: Column, bounds: list, step: int = 32) -> Column:
+    """How many of the bounds are less than the value; they are looked at by groups, then in one group."""
+    if not bounds:
+        return F.lit(0)
+    count = lambda values: F.aggregate(values, F.lit(0), lambda n, b: n + F.when(value > b, 1).otherwise(0))
+    groups = [bounds[i : i + step] for i in range(0, len(bounds), step)]
+    group = F.greatest(count(F.array(*[F.lit(g[0]) for g in groups])) - 1, F.lit(0))
+    inside = F.get(F.array(*[F.array(*map(F.lit, g)) for g in groups]), group)
+    return group * step + count(inside)
 
 
 def placed(rows: DataFrame, order: str, name: str = "i") -> DataFrame:
     """rows with their 0-based place by a numeric column, null first, without one task for all.
 
-    Pieces of the column's range are counted, the counts are put in one order, and
-    rows are numbered within their piece.
+    Pieces of the column are counted, the counts are put in one order, and rows are
+    numbered within their piece.
     """
-    cut = rows.withColumn("_piece", F.floor(F.col(order) / PIECE))
+    cut = with_pieces(rows, order)
     counts = cut.groupBy("_piece").agg(F.count("*").alias("_n"))
-    along = W.orderBy(F.col("_piece").asc_nulls_first()).rowsBetween(W.unboundedPreceding, -1)
+    along = W.orderBy("_piece").rowsBetween(W.unboundedPreceding, -1)
     before = counts.select(F.col("_piece").alias("_p"), F.coalesce(F.sum("_n").over(along), F.lit(0)).alias("_before"))
     within = F.row_number().over(W.partitionBy("_piece").orderBy(F.col(order).asc_nulls_first()))
-    numbered = cut.withColumn("_in", within).join(before, F.col("_piece").eqNullSafe(F.col("_p")))
+    numbered = cut.withColumn("_in", within).join(before, F.col("_piece") == F.col("_p"))
     return numbered.withColumn(name, F.col("_before") + F.col("_in") - 1).drop("_piece", "_p", "_before", "_in")
 
 
