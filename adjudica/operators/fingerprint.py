@@ -7,7 +7,6 @@ import hashlib
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 #: Bound of the bank; candidates meet at most this many stored rows.
@@ -66,15 +65,6 @@ def family_sizes(rows: DataFrame, group: str) -> DataFrame:
     return rows.groupBy(group).agg(F.count("*").alias("family_size"))
 
 
-BANK = T.StructType([
-    T.StructField("id", T.LongType()), T.StructField("version", T.StringType()), T.StructField("key_id", T.StringType()),
-    T.StructField("model_ref", T.StringType()), T.StructField("model_digest", T.StringType()), T.StructField("submission_id", T.StringType()),
-    T.StructField("submission_order", T.LongType()), T.StructField("hotkey", T.StringType()), T.StructField("similarity_group", T.StringType()),
-    T.StructField("rows", T.IntegerType()), T.StructField("vocab_size", T.IntegerType()), T.StructField("logits_sha256", T.StringType()),
-    T.StructField("compatibility", T.StringType()), T.StructField("created", T.DoubleType()), T.StructField("logits", T.BinaryType()),
-])
-
-
 def encode(logits) -> tuple[bytes, str]:
     """Half-precision payload and its SHA-256."""
     raw = np.ascontiguousarray(logits, dtype="<f2").tobytes()

@@ -162,17 +162,6 @@ def written(spark, table, tail: str):
     return folder, rows
 
 
-@query()
-def npy_roundtrip(spark, table):
-    from ..sources import npytok
-
-    folder, rows = written(spark, table, "roundtrip")
-    npytok.register(spark)
-    npytok.write_shards(rows, folder).count()
-    back = spark.read.format("npytok").option("width", 128).load(folder)
-    return back.agg(F.count("*").alias("n_records"), F.sum(F.aggregate("tokens", F.lit(0).cast("long"), lambda a, x: a + x)).alias("checksum"))
-
-
 @query(r"SELECT source AS source_file, source || '.npy' AS key, sum(len(regexp_split_to_array(text, '\s+')) + 1)::bigint AS n_tokens FROM documents GROUP BY 1")
 def npy_per_source(spark, table):
     from ..sources import npytok
@@ -181,19 +170,6 @@ def npy_per_source(spark, table):
     return npytok.write_shards(rows, folder).select("source_file", "key", "n_tokens")
 
 
-@query()
-def npy_index_lookup(spark, table):
-    """Records by index: the bounds reach the reader, the rest is a join."""
-    from ..sources import npytok
-
-    folder, rows = written(spark, table, "lookup")
-    npytok.register(spark)
-    npytok.write_shards(rows, folder).count()
-    wanted = spark.createDataFrame([(i,) for i in (3, 5, 8)], "record_idx long")
-    back = spark.read.format("npytok").option("width", 64).load(folder).where("record_idx >= 3 and record_idx <= 8")
-    return back.join(F.broadcast(wanted), "record_idx").select("record_idx", F.size("tokens").alias("n"), F.array_max("tokens").alias("largest"))
-
-
 @query("SELECT o_orderstatus, count(*) * CASE WHEN o_orderstatus = 'F' THEN 2 ELSE 1 END AS n FROM orders GROUP BY 1")
 def state_tables(spark, table):
     """State written as JSON and read again, appended to and counted."""

@@ -190,12 +190,15 @@ def cooldown(spark, table):
     return ev.cool_downs(table("events").where("event_type = 'error'"), "user_id", "ts", ["ts", "event_id"], 86_400.0)
 
 
-def streamed(spark, table):
-    """The events table as a stream of files; its folder is the table's own."""
+def streamed(spark, table, late: str = "1 hour"):
+    """The events table as a stream of its files, in the folder or the single file that it is read from."""
     files = table("events").inputFiles()
-    folder, schema = files[0].rsplit("/", 1)[0], table("events").schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", files[0].rsplit("/", 1)[1] if len(files) == 1 else "*.parquet").parquet(folder)
-    return rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 hour")
+    folders, names = {f.rsplit("/", 1)[0] for f in files}, [f.rsplit("/", 1)[1] for f in files]
+    if len(folders) != 1:
+        raise ValueError("the events table must lie in one folder")
+    pattern = names[0] if len(names) == 1 else "*.parquet"
+    rows = spark.readStream.schema(table("events").schema).option("pathGlobFilter", pattern).parquet(folders.pop())
+    return rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
 
 
 @query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")

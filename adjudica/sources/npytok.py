@@ -46,7 +46,7 @@ BLOCK = 8 << 20
 #: Bytes before the tokens of a shard written here.
 HEAD = 128
 MANIFEST = "manifest.json"
-ENTRY = "source_file string, key string, n_tokens long, size_bytes long, sha256 string"
+ENTRY = "source_file: string, key: string, n_tokens: long, size_bytes: long, sha256: string"
 
 
 def read_header(raw: bytes) -> tuple[int, tuple[int, ...]]:
@@ -307,7 +307,7 @@ def records(spark: SparkSession, path: str, indices: DataFrame, width: int = 0)
 def entries(spark: SparkSession, folder: str, manifest: str = MANIFEST) -> DataFrame:
     """The shards that a manifest lists."""
     path = ranges.join(folder, manifest)
-    document = spark.read.schema(f"shards array<struct<{ENTRY.replace(' ', ': ')}>>").option("multiLine", True).json(path)
+    document = spark.read.schema(f"shards array<struct<{ENTRY}>>").option("multiLine", True).json(path)
     return document.select(F.explode("shards").alias("s")).select("s.*")
 
 
