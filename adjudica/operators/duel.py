@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..sources.shared import kept
+from . import sampling
+
 #: Pairs of one duel never exceed this, so a table of them may be broadcast.
 MAX_SEQUENCES = 10_000
 #: Values of a bootstrap are broadcast up to this many rows (some 30 bytes each).
@@ -76,8 +79,8 @@ def source_scores(pairs: DataFrame) -> DataFrame:
 
 
 def numbered(values: DataFrame, order: str) -> DataFrame:
-    """values with ``i``: 0-based place by ``order``. At most MAX_SEQUENCES rows are meant."""
-    return values.withColumn("i", F.row_number().over(W.orderBy(order)) - 1)
+    """values with ``i``: 0-based place by a number ``order``, whatever the number of rows."""
+    return sampling.placed(values, order, "i")
 
 
 # A prime modulus and the multipliers of the draws.
@@ -100,7 +103,7 @@ def bootstrap_means(values: DataFrame, replicates: int, seed: int, group: str |
     draws, many times as many, need no shuffle.
     """
     spark = values.sparkSession
-    values = values.persist()
+    values = kept(values, "values")
     hint = F.broadcast if values.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST else (lambda df: df)
     keys = [group] if group else []
     sizes = values.groupBy(*keys).agg(F.count("*").alias("n"))
@@ -113,7 +116,7 @@ def bootstrap_means(values: DataFrame, replicates: int, seed: int, group: str |
 
 def verdict(pairs: DataFrame, replicates: int = 1000, alpha: float = 0.001, delta: float = 0.0015, seed: int = 0) -> DataFrame:
     """One row: mu_hat, the alpha-quantile of resampled means, and whether it is above delta (strictly)."""
-    pairs = pairs.persist()  # read by the draws and by the overall means
+    pairs = kept(pairs, "pairs")  # read by the draws and by the overall means
     d = numbered(pairs.select("seq_idx", advantage().alias("d")), "seq_idx").drop("seq_idx")
     lcb = bootstrap_means(d, replicates, seed).agg(F.percentile("mean", F.lit(alpha)).alias("lcb"))
     overall = pairs.agg(
@@ -184,15 +187,15 @@ def running_means(pairs: DataFrame, size: int) -> DataFrame:
     )
 
 
-def stop_points(pairs: DataFrame, size: int, delta: float, quantile: float = EARLY_STOP_QUANTILE, fraction: float = EARLY_STOP_FRACTION) -> DataFrame:
-    """Batch ends with the heuristic bound: what is left is taken at a quantile of what was seen.
+def stop_points(pairs: DataFrame, size: int, delta: float, quantile: float = EARLY_STOP_QUANTILE, fraction: float = EARLY_STOP_FRACTION, n: int | None = None) -> DataFrame:
+    """Batch ends with the heuristic bound: what is left of n sequences is taken at a quantile of what was seen.
 
     Each batch end sees its own prefix, by a range join with the ends; a duel has
     MAX_SEQUENCES rows at most, and so MAX_SEQUENCES / size ends.
     """
     rows = batches(pairs.select("seq_idx", advantage().alias("d")), size)
     ends = rows.groupBy("batch").agg((F.max("i") + 1).alias("done"))
-    total = rows.agg(F.count("*").alias("n"))
+    total = rows.agg(F.count("*").alias("n") if n is None else F.lit(n).cast("long").alias("n"))
     seen = rows.select("i", "d").join(F.broadcast(ends), F.col("i") < F.col("done"))
     seen = seen.groupBy("batch", "done").agg(F.sum("d").alias("total"), F.percentile("d", F.lit(quantile)).alias("q")).crossJoin(F.broadcast(total))
     bound = (F.col("total") + (F.col("n") - F.col("done")) * F.col("q")) / F.col("n")
@@ -200,9 +203,9 @@ def stop_points(pairs: DataFrame, size: int, delta: float, quantile: float = EAR
     return seen.select("batch", F.col("done").cast("int").alias("done"), "n", bound.alias("heuristic_bound"), (ready & (bound < delta)).alias("stops"))
 
 
-def early_stop(pairs: DataFrame, size: int, delta: float) -> DataFrame:
-    """The first batch end that stops the duel; no row if none does."""
-    found = stop_points(pairs, size, delta).where("stops").orderBy("batch").limit(1)
+def early_stop(pairs: DataFrame, size: int, delta: float, n: int | None = None) -> DataFrame:
+    """The first batch end that stops the duel; no row if none does. n: sequences of the duel, if pairs are only the first of them."""
+    found = stop_points(pairs, size, delta, n=n).where("stops").orderBy("batch").limit(1)
     return found.select("batch", "done", "n", F.round("heuristic_bound", 6).alias("heuristic_bound"))
 
 

@@ -18,7 +18,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from . import duel, sampling
+from . import duel, packing, sampling
+
+# Fixed value: replicates of a bootstrap that a request may ask for.
+MAX_REPLICATES = 10_000
+#: Rounds after the first look at an early stop: the rest of the sequences is scored in so many parts.
+ROUNDS = 8
 
 
 @dataclass(frozen=True)
@@ -49,12 +54,29 @@ class DuelRequest:
     strategy: str = "hash"
     early_stop: bool = True
 
+    def effective_length(self) -> int:
+        """Tokens of a sequence that are scored."""
+        return packing.effective_length(self.seq_len, self.seq_len_multiplier)
+
+    def sample_seed(self) -> str:
+        """What the sample is drawn by: the base seed, and with it the block and the submitter where the block is known."""
+        block = (self.block_hash or "").strip()
+        if not block or block == "default":
+            return str(self.seed)
+        return f"block_hash={block}|hotkey={(self.hotkey or '').strip()}|base_seed={self.seed}"
+
+    def limited(self) -> DuelRequest:
+        """The request within the bounds of the service."""
+        return replace(self, n=min(self.n, duel.MAX_SEQUENCES), n_bootstrap=min(self.n_bootstrap, MAX_REPLICATES))
+
     def check(self) -> None:
         for name in ("n", "batch_size", "n_bootstrap", "seq_len", "seq_len_multiplier"):
             if getattr(self, name) < 1:
                 raise ValueError(f"{name} must be at least 1")
         if not 0 < self.alpha < 1:
             raise ValueError("alpha must lie between 0 and 1")
+        if self.champion_digest and self.champion_digest == self.challenger_digest:
+            raise ValueError("champion and challenger are the same weights")
         if self.strategy not in SAMPLERS:
             raise ValueError(f"no sampling strategy {self.strategy}; there are {', '.join(sorted(SAMPLERS))}")
 
@@ -79,7 +101,7 @@ class MultiSourceRequest(DuelRequest):
 
 
 def _hash_sample(rows: DataFrame, request: DuelRequest) -> DataFrame:
-    return sampling.sample(rows, request.n, str(request.seed), "doc_id").drop("place")
+    return sampling.sample(rows, request.n, request.sample_seed(), "doc_id").drop("place")
 
 
 def _balanced_sample(rows: DataFrame, request: DuelRequest) -> DataFrame:
@@ -89,7 +111,7 @@ def _balanced_sample(rows: DataFrame, request: DuelRequest) -> DataFrame:
     else:
         table = rows.select("source").distinct().withColumn("idx", F.row_number().over(W.orderBy("source")) - 1)
     quotas = sampling.source_quotas(table, request.n, weights, len(named) or len(weights)).select("source", "quota")
-    return sampling.quota_sample(rows, quotas, str(request.seed), "doc_id")
+    return sampling.quota_sample(rows, quotas, request.sample_seed(), "doc_id")
 
 
 #: Ways to choose a duel's sequences; more can be added by name.
@@ -108,36 +130,73 @@ def load_plugin(name: str) -> Callable:
 EVENT = "eval_id string, ord long, type string, done long, total long, champion_mean double, mu_hat double, message string"
 
 
+def sequences(rows: DataFrame, request: DuelRequest) -> DataFrame:
+    """The sampled rows of a request: texts of the length asked for, cut after ``effective_length`` tokens."""
+    field, limit = request.text_field, request.effective_length()
+    length = F.length(field)
+    fit = rows.where(length >= request.min_chars) if request.min_chars else rows
+    if request.max_chars:
+        fit = fit.withColumn(field, F.left(field, F.lit(request.max_chars)))
+    chosen = SAMPLERS[request.strategy](fit, request)
+    words = packing.words(F.col(field))
+    return chosen.withColumn(field, F.when(F.size(words) > limit, F.array_join(F.slice(words, 1, limit), " ")).otherwise(F.col(field)))
+
+
+def rounds(n: int, request: DuelRequest) -> list[int]:
+    """Places up to which each round scores: at first what an early stop needs to see, then equal parts; whole batches."""
+    if not request.early_stop:
+        return [n]
+    first = -(-max(1, int(n * duel.EARLY_STOP_FRACTION)) // request.batch_size) * request.batch_size
+    step = max(1, -(-(n - first) // (ROUNDS * request.batch_size))) * request.batch_size
+    return [*range(first, n, step), n] if first < n else [n]
+
+
 def run_duel(spark: SparkSession, request: DuelRequest, rows: DataFrame, scorer: Callable[[DataFrame], DataFrame], folder: str) -> str:
-    """Run a duel over rows (doc_id, source, text) and give its id; a failure is recorded and raised."""
+    """Run a duel over rows (doc_id, source, text) and give its id; a failure is recorded and raised.
+
+    With early stop the sequences are scored in rounds, and none is scored once what is
+    left can't win any more; the scorer then sees a round's rows at a time, so one that
+    fits itself to all rows is run without.
+    """
     request.check()
+    asked_for, request = request, request.limited()
     eval_id = uuid.uuid4().hex[:8]
-    asked = spark.createDataFrame([(eval_id, *[list(v) if isinstance(v, tuple) else v for v in asdict(request).values()])], T.StructType([T.StructField("eval_id", T.StringType()), *type(request).schema().fields]))
+    asked = spark.createDataFrame([(eval_id, *[list(v) if isinstance(v, tuple) else v for v in asdict(asked_for).values()])], T.StructType([T.StructField("eval_id", T.StringType()), *type(request).schema().fields]))
     asked.write.mode("append").parquet(f"{folder}/requests/{type(request).__name__}")
 
     def tell(events: DataFrame) -> None:
-        events.select(*[F.col(f.split()[0]).cast(f.split()[1]) for f in EVENT.split(", ")]).coalesce(1).write.mode("append").parquet(f"{folder}/events")
+        events.select(*[F.col(f.split()[0]).cast(f.split()[1]) for f in EVENT.split(", ")]).coalesce(1).write.mode("append").parquet(f"{folder}/events")  # a row for each batch
 
     def say(ord_: int, kind: str, message: str) -> None:
         tell(spark.createDataFrame([(eval_id, ord_, kind, None, None, None, None, message)], EVENT))
 
-    say(0, "started", f"{request.challenger} against {request.champion}")
+    capped = "" if request == asked_for else f"; n {asked_for.n} and n_bootstrap {asked_for.n_bootstrap} are bounded by {duel.MAX_SEQUENCES} and {MAX_REPLICATES}"
+    say(0, "started", f"{request.challenger} against {request.champion}{capped}")
     try:
-        length = F.length(request.text_field)
-        fit = rows.where(length >= request.min_chars) if request.min_chars else rows
-        if request.max_chars:
-            fit = fit.withColumn(request.text_field, F.left(request.text_field, F.lit(request.max_chars)))
-        chosen = SAMPLERS[request.strategy](fit, request)
-        scorer(chosen).write.parquet(f"{folder}/pairs/eval_id={eval_id}")
-        pairs = spark.read.parquet(f"{folder}/pairs/eval_id={eval_id}")
-        n = pairs.count()
-        means = duel.running_means(pairs, request.batch_size)
-        tell(means.select(F.lit(eval_id).alias("eval_id"), (F.col("batch") + 1).alias("ord"), F.lit("progress").alias("type"), "done", F.lit(n).alias("total"), "champion_mean", "mu_hat", F.lit(None).alias("message")))
-        stop = duel.early_stop(pairs, request.batch_size, request.delta_threshold).first() if request.early_stop else None
-        if stop is not None:
-            pairs = duel.numbered(pairs, "seq_idx").where(F.col("i") < stop["done"]).drop("i")
+        sequences(rows, request).write.parquet(f"{folder}/sequences/{eval_id}")
+        chosen = duel.numbered(spark.read.parquet(f"{folder}/sequences/{eval_id}"), "doc_id")
+        n, before, stop, told = chosen.count(), 0, None, 0
+        for end in rounds(n, request):
+            part = chosen.where((F.col("i") >= before) & (F.col("i") < end)).drop("i")
+            scorer(part).write.parquet(f"{folder}/pairs/eval_id={eval_id}/round={before}")
+            before = end
+            pairs = spark.read.parquet(f"{folder}/pairs/eval_id={eval_id}").drop("round")
+            means = duel.running_means(pairs, request.batch_size).where(F.col("batch") >= told)
+            tell(means.select(F.lit(eval_id).alias("eval_id"), (F.col("batch") + 1).alias("ord"), F.lit("progress").alias("type"), "done", F.lit(n).alias("total"), "champion_mean", "mu_hat", F.lit(None).alias("message")))
+            told = -(-end // request.batch_size)
+            stop = duel.early_stop(pairs, request.batch_size, request.delta_threshold, n).first() if request.early_stop else None
+            if stop is not None:
+                pairs = duel.numbered(pairs, "seq_idx").where(F.col("i") < stop["done"]).drop("i")
+                break
         verdict = duel.verdict(pairs, request.n_bootstrap, request.alpha, request.delta_threshold, request.bootstrap_seed % duel.PRIME)
-        verdict = verdict.withColumn("eval_id", F.lit(eval_id)).withColumn("stopped_early", F.lit(stop is not None)).withColumn("n_requested", F.lit(request.n).cast("long"))
+        facts = {"eval_id": eval_id, "champion": request.champion, "challenger": request.challenger, "champion_digest": request.champion_digest, "challenger_digest": request.challenger_digest, "hotkey": request.hotkey, "coldkey": request.coldkey, "seed_material": request.sample_seed()}
+        numbers = {"n_requested": asked_for.n, "n_sampled": n, "n_scored": before, "seq_len": request.effective_length()}
+        for name, value in facts.items():
+            verdict = verdict.withColumn(name, F.lit(value))
+        for name, value in numbers.items():
+            verdict = verdict.withColumn(name, F.lit(value).cast("long"))
+        sample = sampling.ids_digest(chosen.select("doc_id", F.col("i").alias("place")), "doc_id", "place").select(F.col("digest").alias("sample_digest"))
+        verdict = verdict.crossJoin(F.broadcast(sample)).withColumn("stopped_early", F.lit(stop is not None))
         verdict.write.mode("append").parquet(f"{folder}/verdicts")
     except Exception as e:
         say(2**31, "error", str(e)[:500])

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import duel, evaluation
-from ..operators.ingest import ingest
+from ..operators.ingest import Plan, ingest
 from ..sources.shared import shared_folder
 from ..streaming import events as ev
 from .duels import DIFFS, PAIRS, RUNNING, boot
 from .registry import query
 
-REQUEST = evaluation.DuelRequest("king/model", "miner/model", min_chars=0, strategy="all", n_bootstrap=1000, bootstrap_seed=0, batch_size=64, early_stop=False)
+REQUEST = evaluation.DuelRequest("king/model", "miner/model", seq_len=1_000_000, min_chars=0, strategy="all", n_bootstrap=1000, bootstrap_seed=0, batch_size=64, early_stop=False)
 
 
 def run(spark, table, request):
@@ -53,6 +53,22 @@ def multi_source_sample(spark, table):
     return evaluation.SAMPLERS[request.strategy](rows, request).groupBy("source").agg(F.count("*").alias("n"))
 
 
+SEEDED = """SELECT '{block}' AS block_hash, doc_id, least(len(regexp_split_to_array(text, '\\s+')), 24)::int AS n_words FROM
+(SELECT *, row_number() OVER (ORDER BY md5('block_hash={block}|hotkey=5Fx|base_seed=3610|' || doc_id), doc_id) AS r FROM documents WHERE length(text) >= 128) WHERE r <= 100"""
+
+
+@query(" UNION ALL ".join(SEEDED.format(block=b) for b in ("0xaa", "0xbb")))
+def duel_sequences(spark, table):
+    """Samples of one submitter at two blocks: other documents, each cut to the length that is asked for."""
+    out = None
+    for block in ("0xaa", "0xbb"):
+        request = evaluation.DuelRequest("king/model", "miner/model", block_hash=block, hotkey="5Fx", seq_len=12, seq_len_multiplier=2, n=100)
+        found = evaluation.sequences(table("documents").select("doc_id", "source", "text"), request)
+        found = found.select(F.lit(block).alias("block_hash"), "doc_id", F.size(F.split("text", r"\s+")).alias("n_words"))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 @query("SELECT count(*) AS n_sequences, true AS same FROM documents")
 def scorer_plugin(spark, table):
     """A scorer loaded by name gives what the function itself gives."""
@@ -77,7 +93,7 @@ def texts(table):
 @query(f"WITH {STREAMS} SELECT source, (n // 4096)::bigint AS total_shards, (n // 4096 * 4096)::bigint AS total_tokens, (n // 4096 * (4096 * 4 + 128))::bigint AS bytes FROM p WHERE n >= 4096")
 def ingest_manifest(spark, table):
     """Texts to full token shards on disk; totals of the manifest that was written."""
-    made = ingest(spark, texts(table), shared_folder(spark, "ingest"), 4096)
+    made = ingest(spark, texts(table), shared_folder(spark, "ingest"), Plan(4096))
     return made.groupBy("source").agg(F.count("*").alias("total_shards"), F.sum("n_tokens").alias("total_tokens"), F.sum("size_bytes").alias("bytes"))
 
 
@@ -85,5 +101,14 @@ def ingest_manifest(spark, table):
 def ingest_plan(spark, table):
     """A dry run that keeps tails and leaves out what an earlier run completed."""
     done = table("documents").where("source = 'src1'").select("source").distinct()
-    made = ingest(spark, texts(table), "", 4096, keep_tail=True, completed=done, part_id="part-1", dry_run=True)
+    made = ingest(spark, texts(table), "", Plan(4096, keep_tail=True, part_id="part-1", dry_run=True), completed=done)
     return made.groupBy("source").agg(F.sum("n_tokens").alias("total_tokens"), F.count("*").alias("total_shards"))
+
+
+@query(r"""WITH p AS (SELECT sum(len(regexp_split_to_array(text, '\s+')) + 1)::bigint AS n FROM documents WHERE source LIKE 'src1%' OR source LIKE 'src2%'),
+s AS (SELECT unnest(range(0, (n + 4095) // 4096)) AS k, n FROM p)
+SELECT 'part-7-stream-' || lpad(k::varchar, 6, '0') AS source_file, least(4096, n - k * 4096)::bigint AS n_tokens FROM s""")
+def ingest_ordered_part(spark, table):
+    """Sources chosen by the beginning of their names as one stream, remainders going on from source to source; the part's manifest."""
+    plan = Plan(4096, prefixes=("src1", "src2"), ordered_part=True, keep_tail=True, part_id="part-7", run_id="run", part_manifest_only=True)
+    return ingest(spark, texts(table), shared_folder(spark, "ingest"), plan).select("source_file", "n_tokens")

@@ -1,11 +1,12 @@
-"""A new folder that the driver and all executors see."""
+"""A new folder that the driver and all executors see, and tables kept there."""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -16,3 +17,20 @@ def shared_folder(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="shared-")
     return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    try:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # noqa: BLE001 - the session may be gone at exit
+        pass
+
+
+def kept(rows: DataFrame, name: str) -> DataFrame:
+    """rows written to a new folder and read again: made once, whatever executors are lost; it goes when the driver ends."""
+    spark = rows.sparkSession
+    folder = shared_folder(spark, name)
+    atexit.register(_remove, spark, folder)
+    rows.write.parquet(folder)
+    return spark.read.schema(rows.schema).parquet(folder)

@@ -1,12 +1,14 @@
 """Edge cases of the engine's own operators."""
 
+import json
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from adjudica import ingest as ingest_cli
 from adjudica.functions import hashing, text
-from adjudica.operators import boards, duel, evaluation, fingerprint, packing, registry, sampling
+from adjudica.operators import boards, duel, evaluation, fingerprint, ingest, packing, registry, sampling
 from adjudica.sources import npytok, scans
 
 
@@ -205,7 +207,7 @@ def test_runs_and_offsets_do_not_depend_on_pieces(spark, monkeypatch):
     rows = spark.createDataFrame([("a" if v % 3 else None, v, ["x"] * (v % 5)) for v in values], "s string, id long, tokens array<string>")
     for stretch in (10, 700, 10_000):
         monkeypatch.setattr(packing, "STRETCH", stretch)
-        monkeypatch.setattr(packing, "PIECE", stretch)
+        monkeypatch.setattr(sampling, "PIECE", stretch)
         got = packing.merge_ranges(spark.createDataFrame([(v,) for v in values], "i long"), "i", 9).collect()
         assert sorted(tuple(r[c] for c in ("first", "last", "n")) for r in got) == want
         at = {"a": 0, None: 0}
@@ -244,6 +246,45 @@ def test_ingest_command_line(spark, tmp_path, capsys):
     assert capsys.readouterr().out == "2 shards, 48 tokens\n"
     assert sorted(p.name for p in (tmp_path / "out").glob("*.npy")) == ["p1-a-000000.npy", "p1-b-000000.npy"]
     assert ingest_cli.main([str(tmp_path / "in"), "", "--dry-run", "--one-shard-per-source"]) == 0
+    assert json.loads((tmp_path / "out" / "manifest.json").read_text())["total_tokens"] == 48
+    (tmp_path / "list.json").write_text('{"files": ["b", "a"]}')
+    capsys.readouterr()
+    options = ["--ordered-packed-part", "--file-list", str(tmp_path / "list.json"), "--part-id", "p2", "--distributed-run-id", "r", "--part-manifest-only", "--keep-tail", "--tokenizer", "t"]
+    assert ingest_cli.main([str(tmp_path / "in"), str(tmp_path / "out"), *options]) == 0
+    assert capsys.readouterr().out == "1 shards, 48 tokens\n"
+    part = json.loads((tmp_path / "out" / "parts" / "r" / "p2" / "manifest.json").read_text())
+    assert (part["tokenization_mode"], part["tokenizer"], part["part_id"], part["total_shards"]) == ("ordered_packed_part", "t", "p2", 1)
+    assert json.loads((tmp_path / "out" / "manifest.json").read_text())["total_shards"] == 2
+    assert ingest_cli.main([str(tmp_path / "in"), "", "--dry-run", "--include-prefixes", "b", "--keep-tail"]) == 0
+    assert capsys.readouterr().out == "1 shards, 16 tokens\n"
+    with pytest.raises(ValueError, match="part_id"):
+        ingest_cli.main([str(tmp_path / "in"), "", "--part-manifest-only"])
+
+
+def test_encoders_of_one_name_are_kept_apart(spark):
+    rows = spark.createDataFrame([(0, "a b")], "ord long, text string").coalesce(1)
+    for n in (1, 2):
+        assert ingest.tokenise(rows, lambda: lambda texts: [[n] for _ in texts]).first().tokens == [n]
+    assert ingest.identity(ingest.word_encoder, "x") != ingest.identity(ingest.word_encoder, "y")
+
+
+def test_an_early_stop_leaves_the_rest_unscored(spark, tmp_path):
+    rows = spark.createDataFrame([(i, "s", "word " * 60) for i in range(100)], "doc_id long, source string, text string")
+    scored = []
+
+    def worse(d):
+        scored.append(d.count())
+        return d.select(F.col("doc_id").alias("seq_idx"), "source", F.lit(1.0).alias("champion_loss"), F.lit(2.0).alias("challenger_loss"))
+
+    request = evaluation.DuelRequest("a", "b", batch_size=5, n_bootstrap=20, n=20_000, block_hash="0x1", hotkey="h", seq_len=3, seq_len_multiplier=2)
+    r = evaluation.evaluation(spark, str(tmp_path), evaluation.run_duel(spark, request, rows, worse, str(tmp_path))).first()
+    assert scored == [20] and (r.n_scored, r.n_sampled, r.n_requested, r.stopped_early, r.done) == (20, 100, 20_000, True, 20)
+    assert r.seed_material == "block_hash=0x1|hotkey=h|base_seed=3610" and len(r.sample_digest) == 64 and r.seq_len == 6
+    assert all(len(x.text.split()) == 6 for x in evaluation.sequences(rows, request).collect())
+    assert evaluation.rounds(100, request) == [20, 30, 40, 50, 60, 70, 80, 90, 100]
+    assert evaluation.rounds(3, request) == [3] and evaluation.rounds(0, request) == [0]
+    with pytest.raises(ValueError, match="same weights"):
+        evaluation.DuelRequest("a", "b", "sha256:1", "sha256:1").check()
 
 
 def test_places_do_not_depend_on_pieces(spark, monkeypatch):
