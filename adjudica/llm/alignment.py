@@ -38,18 +38,18 @@ from .common import Scratch, ship
 
 ship(__name__)
 
-BLOCK_CHARS = 32_000_000
+BLOCK_CHARS = 14_000_000
 #: Groups with more links are counted by their distinct ids.
 WIDE_GROUP = 4096
-#: Segments of documents whose pairs are made distinct at a time.
-CHUNK = 200_000
+#: Segments of documents whose pairs are made distinct at a time, and distinct segments decoded at a time.
+CHUNK, DECODED = 200_000, 20_000
 # Whole text but for cuts before a space run: white space, a word, then words behind other white space.
 SEGMENT = re.compile(r"\s+\S+(?:[^\S ]\s*\S+)*(?:\s+\Z)?|\s+")
 
 BLOCKS = "block long, code int, segment string, doc_ids binary, known binary, sizes binary, codes binary"
 ALIGNED = "block long, code int, words binary, wide binary"
 COMPOSED = (
-    "block long, pair int, a int, b int, n_docs long, doc_ids binary, known binary, sizes binary, codes binary, "
+    "block long, pair int, a int, b int, n_docs long, good binary, "
     "sums binary, digests array<string>, pairs_of binary, pairs binary, times binary"
 )
 RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
@@ -102,7 +102,7 @@ def blocks(documents: DataFrame, cut: bool) -> DataFrame:
             n = len(known)
             row = {"block": [block], "code": [None], "segment": [None], "known": [np.array(known, np.bool_).tobytes()]}
             row |= {"doc_ids": [np.array(doc_ids, "<i8").tobytes()], "sizes": [np.array(sizes, "<i8").tobytes()]}
-            row |= {"codes": [np.concatenate(codes).tobytes() if n else b""]}
+            row |= {"codes": [to_planes(np.concatenate(codes)) if n else b""]}
             types = (pa.int64(), pa.int32(), pa.string(), *[pa.binary()] * 4)
             yield pa.RecordBatch.from_arrays([pa.array(row[k], t) for k, t in zip(names, types, strict=True)], names)
             found = list(seen)
@@ -193,10 +193,55 @@ class Aligner:
         return out, sizes
 
 
+def parts_of(numbers: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """n_a, n_b, n_groups, and ids of A, ids of B, A tokens and B tokens of each group, of several alignments."""
+    start, good = before(sizes), sizes > 0
+    head = np.where(good, start, 0)
+    n_a, n_b, n_groups = (np.where(good, numbers[head + i] if len(numbers) else 0, 0).astype(np.int64) for i in range(3))
+    at = start + 3
+    a, b = numbers[ragged(at, n_a)], numbers[ragged(at + n_a, n_b)]
+    in_a, in_b = (numbers[ragged(at + n_a + n_b + k * n_groups, n_groups)] for k in (0, 1))
+    return n_a, n_b, n_groups, a, b, in_a, in_b
+
+
+def pack(numbers: np.ndarray, sizes: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """Alignments with a byte for each count and two for each id, and how many bytes each has. Counts are below 256, ids below 65,536."""
+    n_a, n_b, n_groups, a, b, in_a, in_b = parts_of(numbers, sizes)
+    length = np.where(sizes > 0, 3 + 2 * n_groups + 2 * (n_a + n_b), 0)
+    start, out = before(length), np.zeros(length.sum(), np.uint8)
+    good = sizes > 0
+    for i, n in enumerate((n_a, n_b, n_groups)):
+        out[start[good] + i] = n[good]
+    out[ragged(start + 3, n_groups)], out[ragged(start + 3 + n_groups, n_groups)] = in_a, in_b
+    at = start + 3 + 2 * n_groups
+    for first, n, ids in ((at, n_a, a), (at + 2 * n_a, n_b, b)):
+        place = 2 * ragged(np.zeros(len(n), np.int64), n) + np.repeat(first, n)
+        out[place], out[place + 1] = ids & 255, ids >> 8
+    return out.tobytes(), length
+
+
+def unpack(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of packed alignments, and how many each has."""
+    raw, length = np.frombuffer(b"".join(rows), np.uint8).astype(np.int64), np.array([len(r) for r in rows], np.int64)
+    start, good = before(length), length > 0
+    head = np.where(good, start, 0)
+    n_a, n_b, n_groups = (np.where(good, raw[head + i] if len(raw) else 0, 0) for i in range(3))
+    sizes = np.where(good, 3 + n_a + n_b + 2 * n_groups, 0)
+    to, out = before(sizes), np.zeros(sizes.sum(), np.int64)
+    for i, n in enumerate((n_a, n_b, n_groups)):
+        out[to[good] + i] = n[good]
+    ids = start + 3 + 2 * n_groups
+    n = n_a + n_b
+    place = 2 * ragged(np.zeros(len(n), np.int64), n) + np.repeat(ids, n)
+    out[ragged(to + 3, n)] = raw[place] + 256 * raw[place + 1]
+    out[ragged(to + 3 + n, 2 * n_groups)] = raw[ragged(start + 3, 2 * n_groups)]
+    return out, sizes
+
+
 def aligned(rows: DataFrame, vocabulary, model, narrow: bool) -> DataFrame:
     """(block, code, words or wide) for rows (block, code, segment): equal segments meet, sorted, and are aligned once.
 
-    Numbers take 16 bits where both vocabularies allow it and the segment is no giant.
+    words: packed; wide: 32-bit numbers, for giant segments or where ids need more than 16 bits.
     """
 
     def run(batches):
@@ -211,16 +256,19 @@ def aligned(rows: DataFrame, vocabulary, model, narrow: bool) -> DataFrame:
             fresh = texts[1:] if known else texts
             words, wide = ([known[0]], [known[1]]) if known else ([], [])
             numbers, sizes = aligner.align(fresh) if fresh else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-            start = before(sizes)
             giant = np.zeros(len(sizes), bool)
             if not narrow:
                 giant[:] = True
-            elif len(numbers) and numbers.max() > 65_535:
-                giant[sizes > 0] = np.maximum.reduceat(numbers, start[sizes > 0]) > 65_535
-            small, large = numbers.astype("<u2").tobytes(), numbers.astype("<u4").tobytes() if giant.any() else b""
-            for at, n, g in zip(start.tolist(), sizes.tolist(), giant.tolist(), strict=True):
-                words.append(None if g else small[2 * at : 2 * (at + n)])
-                wide.append(large[4 * at : 4 * (at + n)] if g else None)
+            elif (sizes > 255).any():
+                giant = sizes > 255
+            numbers_in = np.repeat(giant, sizes)
+            small, length = pack(numbers[~numbers_in], np.where(giant, 0, sizes))
+            large = numbers[numbers_in].astype("<u4").tobytes()
+            at_small = at_large = 0
+            for n, size, g in zip(length.tolist(), sizes.tolist(), giant.tolist(), strict=True):
+                words.append(None if g else small[at_small : at_small + n])
+                wide.append(large[at_large : at_large + 4 * size] if g else None)
+                at_small, at_large = at_small + n, at_large + 4 * size * g
             last, held = texts[-1], (words[-1], wide[-1])
             columns = [batch.column("block"), batch.column("code"), pa.array(words, pa.binary()).take(pa.array(index)), pa.array(wide, pa.binary()).take(pa.array(index))]
             yield pa.RecordBatch.from_arrays(columns, ["block", "code", "words", "wide"])
@@ -228,33 +276,43 @@ def aligned(rows: DataFrame, vocabulary, model, narrow: bool) -> DataFrame:
     return rows.repartition("segment").sortWithinPartitions("segment").mapInArrow(run, ALIGNED)
 
 
-def numbers_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """All alignment numbers in the order of the codes, and how many each code has."""
-    order = pa.array(np.argsort(table["code"].to_numpy()))
-    words, wide = (table[c].combine_chunks().take(order) for c in ("words", "wide"))
-    if wide.null_count == len(wide):
-        sizes = np.diff(np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]) // 2
-        return np.frombuffer(b"".join(words.to_pylist()), "<u2").astype(np.int64), sizes.astype(np.int64)
-    each = [np.frombuffer(w, "<u2") if w is not None else np.frombuffer(x, "<u4") for w, x in zip(words.to_pylist(), wide.to_pylist(), strict=True)]
-    return np.concatenate([e.astype(np.int64) for e in each]), np.array([len(e) for e in each], np.int64)
+def numbers_of(rows: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """All alignment numbers of rows (words, wide), and how many each row has."""
+    if rows["wide"].null_count == rows.num_rows:
+        return unpack(rows["words"].to_pylist())
+    each = [unpack([w])[0] if w is not None else np.frombuffer(x, "<u4").astype(np.int64) for w, x in zip(rows["words"].to_pylist(), rows["wide"].to_pylist(), strict=True)]
+    return np.concatenate(each), np.array([len(e) for e in each], np.int64)
 
 
 class Segments:
-    """Decoded alignments of a block's segments, by code."""
+    """Decoded alignments of a block's segments, by code.
 
-    def __init__(self, numbers: np.ndarray, sizes: np.ndarray, n_ids_b: int):
-        start = before(sizes)
-        self.good = sizes > 0
-        head = np.where(self.good, start, 0)
-        n_a, n_b, n_groups = (np.where(self.good, numbers[head + i] if len(numbers) else 0, 0) for i in range(3))
-        at = start + 3
-        a, b = numbers[ragged(at, n_a)], numbers[ragged(at + n_a, n_b)]
-        in_a, in_b = numbers[ragged(at + n_a + n_b, n_groups)], numbers[ragged(at + n_a + n_b + n_groups, n_groups)]
+    sums: rows n_a, n_b, n_groups, n_links. pairs: for each segment, ``pairs_of`` of them,
+    its distinct linked pairs as places in ``keys`` (A id x n_ids_b + B id), linked ``times``.
+    """
+
+    def __init__(self, alignments: pa.Table, n_ids_b: int):
+        """alignments: (code, words, wide), a row for each code. They are decoded some at a time, so little is held twice."""
+        self.text: list[str] = []
+        order = np.argsort(alignments["code"].to_numpy())
+        parts = []
+        for x in range(0, max(1, len(order)), DECODED):
+            numbers, sizes = numbers_of(alignments.take(order[x : x + DECODED])) if len(order) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            parts.append((sizes > 0, *self._decode(numbers, sizes, n_ids_b)))
+        self.good, self.pairs_of, self.times, keys = (np.concatenate([p[k] for p in parts]) for k in (0, 2, 3, 4))
+        self.sums = np.concatenate([p[1] for p in parts], axis=1)
+        del parts
+        self.keys = np.unique(keys)
+        self.pairs = np.searchsorted(self.keys, keys).astype(np.int32)
+
+    def _decode(self, numbers: np.ndarray, sizes: np.ndarray, n_ids_b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Sums, pairs of each segment, and times and keys of these pairs; the segments' texts are added to ``text``."""
+        n_a, n_b, n_groups, a, b, in_a, in_b = parts_of(numbers, sizes)
+        self.text += written(a, b, in_a, in_b, n_groups)
         first_a, first_b, code = before(in_a), before(in_b), np.repeat(np.arange(len(sizes)), n_groups)
         links = in_a * in_b
         by_code = np.zeros(len(sizes), np.int64)
         np.add.at(by_code, code, links)
-        self.sums = np.stack([n_a, n_b, n_groups, by_code])
         # Linked pairs: place by place in small groups, by distinct ids in large ones.
         few = links <= WIDE_GROUP
         n = links[few]
@@ -269,57 +327,70 @@ class Segments:
             times.append((ca[:, None] * cb[None, :]).reshape(-1))
             codes.append(np.full(len(keys[-1]), code[g]))
         keys, codes, times = np.concatenate(keys), np.concatenate(codes), np.concatenate(times)
-        self.keys, pair = np.unique(keys, return_inverse=True)
-        place, which = np.unique(codes * max(1, len(self.keys)) + pair, return_inverse=True)
-        self.times = np.bincount(which, weights=times, minlength=len(place)).astype(np.int64)
-        self.pairs = place % max(1, len(self.keys))
-        self.pairs_of = np.bincount(place // max(1, len(self.keys)), minlength=len(sizes))
-        self.text = self._texts(a, b, in_a, in_b, n_groups)
-
-    @staticmethod
-    def _texts(a, b, in_a, in_b, n_groups) -> list[str]:
-        """``a1,a2|b1;`` and so on, for each segment."""
-        plain = [str(i) for i in range(int(max(a.max(initial=0), b.max(initial=0))) + 1)]
-        out = [""] * (len(a) + len(b))
-        place_a, place_b = ragged(before(in_a) + before(in_b), in_a), ragged(before(in_a) + before(in_b) + in_a, in_b)
-        ids, mark = np.zeros(len(out), np.int64), np.full(len(out), 0)
-        ids[place_a], ids[place_b] = a, b
-        mark[place_a[np.cumsum(in_a) - 1]] = 1
-        mark[place_b[np.cumsum(in_b) - 1]] = 2
-        with_mark = [[p + m for p in plain] for m in ",|;"]
-        out = [with_mark[m][i] for m, i in zip(mark.tolist(), ids.tolist(), strict=True)]
-        per_group = in_a + in_b
-        bounds = np.concatenate([[0], np.cumsum(per_group)])[np.concatenate([[0], np.cumsum(n_groups)])].tolist()
-        return ["".join(out[x:y]) for x, y in zip(bounds, bounds[1:], strict=False)]
+        order = np.lexsort((keys, codes))
+        keys, codes, times = keys[order], codes[order], times[order]
+        new = np.flatnonzero(np.diff(codes, prepend=-1) | np.diff(keys, prepend=-1))
+        times = np.add.reduceat(times, new) if len(new) else times
+        return np.stack([n_a, n_b, n_groups, by_code]), np.bincount(codes[new], minlength=len(sizes)), times.astype(np.uint32), keys[new]
+
+
+def written(a: np.ndarray, b: np.ndarray, in_a: np.ndarray, in_b: np.ndarray, n_groups: np.ndarray) -> list[str]:
+    """``a1,a2|b1;`` and so on, for each segment."""
+    place_a, place_b = ragged(before(in_a) + before(in_b), in_a), ragged(before(in_a) + before(in_b) + in_a, in_b)
+    ids, mark = np.zeros(len(a) + len(b), np.int64), np.zeros(len(a) + len(b), np.int64)
+    ids[place_a], ids[place_b] = a, b
+    mark[place_a[np.cumsum(in_a) - 1]] = 1
+    mark[place_b[np.cumsum(in_b) - 1]] = 2
+    out = [f"{i}{',|;'[m]}" for i, m in zip(ids.tolist(), mark.tolist(), strict=True)]
+    bounds = np.concatenate([[0], np.cumsum(in_a + in_b)])[np.concatenate([[0], np.cumsum(n_groups)])].tolist()
+    return ["".join(out[x:y]) for x, y in zip(bounds, bounds[1:], strict=False)]
+
+
+def chunks(sizes: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """(first document, last, first place, last) of runs of documents with about ``CHUNK`` segments; the lasts are not included."""
+    ends, out, at = np.cumsum(sizes), [], 0
+    while at < len(sizes):
+        low = int(ends[at] - sizes[at])
+        to = max(at + 1, int(np.searchsorted(ends, low + CHUNK, side="right")))
+        out.append((at, to, low, int(ends[to - 1])))
+        at = to
+    return out
 
 
 def along(values: np.ndarray, codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """For each document, the sum of its segments' values."""
-    run = np.concatenate([[0], np.cumsum(values[codes])])
-    ends = np.cumsum(sizes)
-    return run[ends] - run[ends - sizes]
+    out = np.zeros(len(sizes), np.int64)
+    for at, to, low, high in chunks(sizes):
+        run = np.concatenate([[0], np.cumsum(values[codes[low:high]], dtype=np.int64)])
+        ends = np.cumsum(sizes[at:to])
+        out[at:to] = run[ends] - run[ends - sizes[at:to]]
+    return out
 
 
 def document_pairs(found: Segments, codes: np.ndarray, sizes: np.ndarray, good: np.ndarray) -> np.ndarray:
     """How many of the good documents hold each pair."""
     held = np.zeros(len(found.keys), np.int64)
-    n_codes, n_pairs, first = len(found.pairs_of), len(found.keys), before(found.pairs_of)
-    ends = np.cumsum(sizes)
-    at = 0
-    while at < len(sizes):
-        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK, side="right")))
-        lo, hi = int(ends[at] - sizes[at]), int(ends[to - 1])
+    n_codes, n_pairs, first = max(1, len(found.pairs_of)), len(found.keys), before(found.pairs_of)
+    for at, to, low, high in chunks(sizes):
         doc = np.repeat(np.arange(to - at), sizes[at:to])
         keep = good[at:to][doc]
-        each = np.unique(doc[keep] * n_codes + codes[lo:hi][keep])
+        each = np.unique(doc[keep] * n_codes + codes[low:high][keep])
         code = each % n_codes
         pairs = found.pairs[ragged(first[code], found.pairs_of[code])]
         distinct = np.unique(np.repeat(each // n_codes, found.pairs_of[code]) * n_pairs + pairs)
         held += np.bincount(distinct % n_pairs, minlength=n_pairs) if n_pairs else 0
-        at = to
     return held
 
 
+def to_planes(codes: np.ndarray) -> bytes:
+    """Codes with their low bytes first, then the next ones: the upper bytes compress to little."""
+    return np.ascontiguousarray(codes.astype("<u4").view("u1").reshape(-1, 4).T).tobytes()
+
+
+def from_planes(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, "u1").reshape(4, -1).T).view("<u4").reshape(-1).astype(np.int32)
+
+
 def table_of(schema: str, columns: dict[str, list], rows: int) -> pa.Table:
     kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string(), "array<string>": pa.list_(pa.string())}
     fields = [f.split(" ") for f in schema.split(", ")]
@@ -331,15 +402,16 @@ def composed(n_ids_b: int) -> Callable:
 
     def run(alignments: pa.Table, documents: pa.Table) -> pa.Table:
         row = documents.to_pylist()[0]
-        sizes, codes = np.frombuffer(row["sizes"], "<i8"), np.frombuffer(row["codes"], "<u4").astype(np.int64)
-        found = Segments(*numbers_of(alignments), n_ids_b) if alignments.num_rows else Segments(np.zeros(0, np.int64), np.zeros(0, np.int64), n_ids_b)
+        sizes, codes = np.frombuffer(row["sizes"], "<i8"), from_planes(row["codes"])
+        del documents
+        found = Segments(alignments, n_ids_b)
         good = (along(~found.good, codes, sizes) == 0) & (sizes > 0)
         sums = np.stack([np.where(good, along(v, codes, sizes), 0) for v in found.sums])
         held = document_pairs(found, codes, sizes, good)
         digests, ends, text = [], np.cumsum(sizes).tolist(), found.text
         for end, n, ok in zip(ends, sizes.tolist(), good.tolist(), strict=True):
             digests.append(hashlib.sha256("".join([text[c] for c in codes[end - n : end].tolist()])[:-1].encode()).hexdigest() if ok else "")
-        block = {k: [row[k]] for k in ("block", "doc_ids", "known", "codes")} | {"sizes": [np.where(good, sizes, -sizes).astype("<i8").tobytes()], "digests": [digests]}
+        block = {"block": [row["block"]], "good": [good.tobytes()], "digests": [digests]}
         block |= {"sums": [sums.astype("<i8").tobytes()]} | {k: [getattr(found, k).astype("<u4").tobytes()] for k in ("pairs_of", "pairs")} | {"times": [found.times.astype("<u4").tobytes()]}
         use = np.flatnonzero(held)
         pairs = {"block": np.full(len(use), row["block"]), "pair": use, "a": found.keys[use] // n_ids_b, "b": found.keys[use] % n_ids_b, "n_docs": held[use]}
@@ -349,10 +421,11 @@ def composed(n_ids_b: int) -> Callable:
 
 
 def counted(blocks_: pa.Table, counts: pa.Table) -> pa.Table:
-    """(documents of a block, counts of its pairs) -> the result rows."""
-    row = blocks_.to_pylist()[0]
-    sizes, codes = np.frombuffer(row["sizes"], "<i8"), np.frombuffer(row["codes"], "<u4").astype(np.int64)
-    good, sizes = sizes > 0, np.abs(sizes)
+    """(a block's row of documents and its row of pairs, counts of its pairs) -> the result rows."""
+    one, other = blocks_.to_pylist()
+    row = {k: v if v is not None else other[k] for k, v in one.items()}
+    sizes, codes = np.frombuffer(row["sizes"], "<i8"), from_planes(row["codes"])
+    good = np.frombuffer(row["good"], np.bool_)
     pairs_of, pairs, times = (np.frombuffer(row[k], "<u4").astype(np.int64) for k in ("pairs_of", "pairs", "times"))
     n_pairs, first = int(pairs.max(initial=-1)) + 1, before(pairs_of)
     docs, best = np.zeros(n_pairs, np.int64), np.zeros(n_pairs, np.int64)
@@ -380,11 +453,10 @@ def align_documents(documents: DataFrame, vocabulary: str, model: str) -> DataFr
     of_blocks = cut.where("code IS NULL").select("block", "doc_ids", "known", "sizes", "codes")
     back = aligned(cut.where("code IS NOT NULL").select("block", "code", "segment"), *shipped, max(n_ids_a, n_ids_b) <= 65_536)
     made = scratch.save(back.groupBy("block").cogroup(of_blocks.groupBy("block")).applyInArrow(composed(n_ids_b), COMPOSED))
-    scratch.free(cut)
     pairs = made.where("pair IS NOT NULL").select("block", "pair", "a", "b", "n_docs")
     counts = scratch.save(pairs.groupBy("a", "b").agg(F.sum("n_docs").alias("n")))
     most = counts.groupBy("a").agg(F.max("n").alias("most"))
     ranked = counts.join(most, "a").select("a", "b", "n", (F.col("n") == F.col("most")).cast("int").alias("best"))
     known = pairs.join(ranked, ["a", "b"]).select(F.col("block").alias("of_block"), "pair", "n", "best")
-    whole = made.where("pair IS NULL").select("block", "doc_ids", "known", "sizes", "codes", "sums", "digests", "pairs_of", "pairs", "times")
+    whole = of_blocks.unionByName(made.where("pair IS NULL").select("block", "good", "sums", "digests", "pairs_of", "pairs", "times"), allowMissingColumns=True)
     return whole.groupBy("block").cogroup(known.groupBy("of_block")).applyInArrow(counted, RESULT)

@@ -17,6 +17,13 @@ RNG = np.random.default_rng(11)
 VOCABULARY = [f"w{i}" for i in range(400)]
 
 
+@pytest.fixture(autouse=True)
+def own_draws():
+    """Every test draws alike, whichever ran before it."""
+    global RNG
+    RNG = np.random.default_rng(11)
+
+
 def documents(spark, texts, ids=None, sources=None):
     rows = [((ids or range(len(texts)))[i], t, "en", (sources or ["s"] * len(texts))[i], len(t or "")) for i, t in enumerate(texts)]
     return spark.createDataFrame(rows, DOCS)
@@ -206,12 +213,19 @@ def test_line_dedup_of_short_and_unspaced_lines(spark):
     assert rows == {0: f"Share on Facebook\n{chinese}\n--\nA", 1: f"{address}\n--", 2: "B\n "}
 
 
-def test_lines_that_share_a_passage_are_not_candidates(spark):
-    """Keys ask all quarters: a passage of half a line makes no block of its own."""
-    passage = prose(40)
-    docs = documents(spark, [f"{prose(40)} {passage}" if i % 2 else f"{passage} {prose(40)}" for i in range(40)])
+@pytest.mark.parametrize("seed", range(4))
+def test_lines_that_share_a_passage_are_not_candidates(spark, seed):
+    """Keys ask all quarters: a passage of half a line makes no block of its own.
+
+    Words of the other half are all different: with words of a small vocabulary a
+    few lines pick the same ones there by chance, and meet for that reason.
+    """
+    rng = np.random.default_rng(seed)
+    other = lambda: " ".join(np.base_repr(x, 36).lower() for x in rng.integers(36**5, 36**6, 40))
+    passage = other()
+    docs = documents(spark, [f"{other()} {passage}" if i % 2 else f"{passage} {other()}" for i in range(40)])
     keys = linededup.with_keys(linededup.forms_of(docs)).select("line", F.explode(F.array(*linededup.KEYS)).alias("block"))
-    assert keys.groupBy("block").count().where("count > 1").count() <= 3
+    assert keys.groupBy("block").count().where("count > 1").count() == 0
     assert linededup.dedup_lines(docs).agg(F.sum("n_removed")).first()[0] == 0
 
 

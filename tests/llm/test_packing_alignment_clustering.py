@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -220,9 +221,22 @@ def test_wide_groups_and_giant_segments(monkeypatch):
     texts = [" abc", " under▁", " 你好世界"]
     numbers, sizes = aligner.align(texts)
     assert sizes[1] == 0 and sizes[0] > 0
-    plain = alignment.Segments(numbers, sizes, 32_000)
+    ends = np.cumsum(sizes)
+    words = [numbers[e - n : e] for e, n in zip(ends, sizes, strict=True)]
+    raw, length = alignment.pack(numbers, sizes)
+    back = alignment.unpack([raw[e - n : e] for e, n in zip(np.cumsum(length), length, strict=True)])
+    assert back[0].tolist() == numbers.tolist() and back[1].tolist() == sizes.tolist()
+
+    def table(order, giant):
+        packed = lambda i: alignment.pack(words[i], sizes[i : i + 1])[0]
+        columns = {"code": pa.array(order, pa.int32()), "words": pa.array([None if i == giant else packed(i) for i in order], pa.binary())}
+        return pa.table(columns | {"wide": pa.array([words[i].astype("<u4").tobytes() if i == giant else None for i in order], pa.binary())})
+
+    plain = alignment.Segments(table([0, 1, 2], None), 32_000)
     monkeypatch.setattr(alignment, "WIDE_GROUP", 0)
-    wide = alignment.Segments(numbers, sizes, 32_000)
+    monkeypatch.setattr(alignment, "DECODED", 2)
+    wide = alignment.Segments(table([2, 0, 1], 2), 32_000)
+    assert plain.text == wide.text
     for k in ("keys", "times", "pairs", "pairs_of", "sums"):
         assert getattr(plain, k).tolist() == getattr(wide, k).tolist()
 
