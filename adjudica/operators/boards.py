@@ -40,6 +40,25 @@ def select_benchmarks(specs: DataFrame, wanted: list[str]) -> DataFrame:
     return specs.where(F.lower("label").isin(names) | F.lower("task").isin(names))
 
 
+def requested(requests: DataFrame, specs: DataFrame, key: str, wanted: str, shots: str) -> DataFrame:
+    """(key, label, task, fewshot, known) for requests with an array of names and a ``label=shots`` list.
+
+    Names are labels or tasks in any case, each once; a name of neither is a row without
+    label and known false. Shots that don't parse, are negative or fit no label leave the
+    benchmark's own. The registry is the smaller side, a row for each benchmark.
+    """
+    names = F.array_distinct(F.transform(F.col(wanted), lambda x: F.lower(F.trim(x))))
+    asked = requests.select(key, shots, F.explode(F.filter(names, lambda x: x.isNotNull() & (x != ""))).alias("_name"))
+    by_name = specs.select(F.lower("label").alias("_name"), "label", "task", "fewshot").unionByName(specs.select(F.lower("task").alias("_name"), "label", "task", "fewshot")).dropDuplicates(["_name", "label"])
+    pairs = F.split(F.coalesce(shots, F.lit("")), ",")
+    own = F.filter(pairs, lambda p: F.lower(F.trim(F.split_part(p, F.lit("="), F.lit(1)))) == F.lower(F.col("label")))
+    number = F.try_to_number(F.trim(F.split_part(F.get(own, F.size(own) - 1), F.lit("="), F.lit(2))), F.lit("999999")).cast("int")
+    met = asked.join(F.broadcast(by_name), "_name", "left")
+    known = F.col("label").isNotNull()
+    rows = met.select(key, "label", "task", F.when(known, F.coalesce(F.when(number >= 0, number), F.col("fewshot"))).alias("fewshot"), known.alias("known"))
+    return rows.where("known").distinct().unionByName(rows.where("not known"))
+
+
 def override_shots(specs: DataFrame, overrides: dict[str, int]) -> DataFrame:
     """specs with the given shots by label; a name that fits none is an error."""
     known = {label for label, *_ in BENCHMARKS}

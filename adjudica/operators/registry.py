@@ -42,9 +42,9 @@ def fold_queue(rows: DataFrame) -> DataFrame:
 
 
 def requeue_front(queue: DataFrame, entry: DataFrame) -> DataFrame:
-    """queue (place, repo, ...) with one entry in front and other rows of its repository dropped."""
-    rest = queue.join(entry.select("repo"), "repo", "left_anti").withColumn("place", F.row_number().over(W.orderBy("place")))
-    return entry.withColumn("place", F.lit(0)).unionByName(rest, allowMissingColumns=True)
+    """queue (place from 0, repo, ...) with one entry in front, all others a place on, and other rows of its repository dropped."""
+    rest = queue.join(entry.select("repo"), "repo", "left_anti").withColumn("place", (F.col("place") + 1).cast("long"))
+    return entry.withColumn("place", F.lit(0).cast("long")).unionByName(rest, allowMissingColumns=True)
 
 
 def succession(wins: DataFrame, order: str) -> DataFrame:

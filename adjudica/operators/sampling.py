@@ -128,6 +128,16 @@ def placed(rows: DataFrame, order: str, name: str = "i") -> DataFrame:
     return numbered.withColumn(name, F.col("_before") + F.col("_in") - 1).drop("_piece", "_p", "_before", "_in")
 
 
+def running_total(rows: DataFrame, order: str, value: str, name: str, ties: tuple[str, ...] = ()) -> DataFrame:
+    """rows with the sum of ``value`` over the rows before them by a numeric column and ties, without one task for all."""
+    cut = with_pieces(rows, order)
+    sums = cut.groupBy("_piece").agg(F.sum(value).alias("_sum"))
+    before = sums.select("_piece", F.coalesce(F.sum("_sum").over(W.orderBy("_piece").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    within = W.partitionBy("_piece").orderBy(F.col(order).asc_nulls_first(), *ties).rowsBetween(W.unboundedPreceding, -1)
+    summed = cut.withColumn("_in", F.coalesce(F.sum(value).over(within), F.lit(0))).join(before, "_piece")
+    return summed.withColumn(name, F.col("_base") + F.col("_in")).drop("_piece", "_base", "_in")
+
+
 def round_robin(rows: DataFrame, order: str, n: int) -> DataFrame:
     return placed(rows, order, "_i").withColumn("part", (F.col("_i") % n).cast("int")).drop("_i")
 
@@ -173,6 +183,28 @@ def private_plan(vocabulary: int, secret: bytes, rows: int, length: int, positio
     return tokens, at, hashlib.sha256(secret).hexdigest()[:16]
 
 
+def probe_plans(submissions: DataFrame, secret: bytes, vocabulary: int, rows: int, length: int, positions: int) -> DataFrame:
+    """(id, public_digest, private_digest, positions, key_id) for submissions (id): each has probes of its own, made where its row is.
+
+    The public probe is seeded by the id, the private one by a key of the secret and the
+    id; only digests and positions leave the task. A null id has none.
+    """
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            out = []
+            for i in pdf["id"].tolist():
+                own = keyed_seed(secret, f"submission:{i}").to_bytes(8, "little")
+                tokens, at, _ = private_plan(vocabulary, own, rows, length, positions)
+                out.append((i, array_digest(probe_tokens(vocabulary, rows, length, i)), array_digest(tokens), at.tolist(), hashlib.sha256(secret).hexdigest()[:16]))
+            yield pd.DataFrame(out, columns=["id", "public_digest", "private_digest", "positions", "key_id"])
+
+    known = submissions.select(F.col("id").cast("long").alias("id")).where("id is not null")
+    return known.mapInPandas(run, "id long, public_digest string, private_digest string, positions array<long>, key_id string")
+
+
 def array_digest(values: np.ndarray) -> str:
     return hashlib.sha256(np.ascontiguousarray(values, dtype="<i8").tobytes()).hexdigest()
 

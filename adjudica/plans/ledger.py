@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text
-from ..operators import boards, registry, retention
+from ..operators import boards, listings, registry, retention, sampling
+from ..sources.shared import shared_folder
+from ..sources.versions import Versions
 from .registry import query
 
 
@@ -183,7 +185,7 @@ def retention_keep_recent(spark, table):
 @query("""WITH t AS (SELECT sum(n_chars) AS total FROM documents), b AS (SELECT doc_id, n_chars, coalesce(sum(n_chars) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM documents)
 SELECT doc_id FROM b, t WHERE total > 2000000 AND total - before > 0.7 * 2000000""")
 def retention_watermark(spark, table):
-    return retention.watermark(table("documents").select("doc_id", "n_chars"), "n_chars", [F.col("doc_id")], 2_000_000).select("doc_id")
+    return retention.watermark(table("documents").select("doc_id", "n_chars"), "n_chars", "doc_id", 2_000_000).select("doc_id")
 
 
 @query("SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) <= 50 AS keep FROM documents")
@@ -201,7 +203,8 @@ def newest_result(spark, table):
 def champion_from_records(spark, table):
     wins = table("orders").where("o_orderstatus = 'F' and o_totalprice > 200000").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("r"), "o_custkey").alias("model_repo"))
     last = wins.groupBy("model_repo").agg(F.max("id").alias("id"))
-    return last.withColumn("current", F.max("id").over(W.partitionBy()) == F.col("id"))
+    newest = last.agg(F.max("id").alias("_newest"))
+    return last.crossJoin(F.broadcast(newest)).withColumn("current", F.col("_newest") == F.col("id")).drop("_newest")
 
 
 @query("""WITH h AS (SELECT o_custkey AS k, min(CASE WHEN o_orderstatus = 'F' THEN 0 ELSE 1 END) AS tier, min(o_orderkey) AS first FROM orders GROUP BY 1)
@@ -209,12 +212,26 @@ SELECT c_name AS hotkey, tier, row_number() OVER (ORDER BY tier, first) AS place
 def dashboard_view(spark, table):
     h = table("orders").groupBy("o_custkey").agg(F.min(F.when(F.col("o_orderstatus") == "F", 0).otherwise(1)).alias("tier"), F.min("o_orderkey").alias("first"))
     named = h.join(table("customer"), F.col("c_custkey") == F.col("o_custkey"))
-    return named.select(F.col("c_name").alias("hotkey"), "tier", F.row_number().over(W.orderBy("tier", "first")).cast("long").alias("place"))
+    placed = sampling.placed(named.withColumn("_rank", F.col("tier") * F.lit(2**60) + F.col("first")), "_rank", "_i")
+    return placed.select(F.col("c_name").alias("hotkey"), "tier", (F.col("_i") + 1).cast("long").alias("place"))
 
 
 @query("SELECT o_orderkey FROM orders WHERE NOT (o_custkey = 10 AND o_orderstatus = 'F')")
 def history_rewrite(spark, table):
-    return table("orders").where(~((F.col("o_custkey") == 10) & (F.col("o_orderstatus") == "F"))).select("o_orderkey")
+    h = table("orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("king_id"), (F.col("o_orderstatus") == "F").alias("failed"))
+    return listings.without_failed(h, "10").select("o_orderkey")
+
+
+@query("SELECT o_orderkey FROM orders WHERE NOT (o_custkey = 10 AND o_orderstatus = 'F') UNION ALL SELECT event_id FROM events WHERE event_type = 'error'")
+def history_store(spark, table):
+    """A history appended to, then rewritten without one champion's failed rows, each time as one."""
+    store = Versions(spark, shared_folder(spark, "history"))
+    o = table("orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("king_id"), (F.col("o_orderstatus") == "F").alias("failed"))
+    new = table("events").where("event_type = 'error'").select(F.col("event_id").alias("o_orderkey"), F.concat(F.lit("u"), "user_id").alias("king_id"), F.lit(True).alias("failed"))
+    store.flush({"history": o})
+    store.flush({"history": store.read("history").unionByName(new)})
+    store.flush({"history": listings.without_failed(store.read("history"), "10")})
+    return store.read("history").select("o_orderkey")
 
 
 @query("SELECT '| ' || p_brand || ' | ' || count(*) || ' | ' || max(p_size) || ' |' AS line FROM part GROUP BY p_brand")
@@ -267,6 +284,19 @@ def benchmark_select(spark, table):
     return boards.override_shots(chosen, {"ARC-C": 10}).select("label", "task", "fewshot")
 
 
+@query("""WITH r AS (SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN [' mmlu ', 'GSM8K', 'MMLU'] WHEN 1 THEN ['arc_challenge', 'none'] ELSE [] END AS names, o_custkey % 9 AS k FROM orders),
+b(name, label, task, fewshot) AS (VALUES ('mmlu', 'MMLU', 'mmlu', 5), ('gsm8k', 'GSM8K', 'gsm8k', 4), ('arc_challenge', 'ARC-C', 'arc_challenge', 25)),
+n AS (SELECT DISTINCT o_orderkey, k, lower(trim(unnest(names))) AS name FROM r)
+SELECT o_orderkey, label, task, CASE WHEN label = 'GSM8K' THEN k WHEN label IS NOT NULL THEN fewshot END::int AS fewshot, label IS NOT NULL AS known FROM n LEFT JOIN b USING (name)""")
+def benchmark_requests(spark, table):
+    """Benchmarks that each request names, by label or task in any case, with the shots it sets."""
+    k = F.col("o_orderkey") % 3
+    lists = F.when(k == 0, F.array(F.lit(" mmlu "), F.lit("GSM8K"), F.lit("MMLU"))).when(k == 1, F.array(F.lit("arc_challenge"), F.lit("none"))).otherwise(F.array().cast("array<string>"))
+    shots = F.concat(F.lit("ARC-C=x, gsm8k="), F.col("o_custkey") % 9, F.lit(",MMLU=-3"))
+    requests = table("orders").select("o_orderkey", lists.alias("names"), shots.alias("shots"))
+    return boards.requested(requests, boards.registry(spark), "o_orderkey", "names", "shots")
+
+
 @query("SELECT o_orderkey, least(o_custkey, 1000) AS n, o_custkey > 1000 AS capped, greatest(1, o_custkey // 4) AS batch FROM orders")
 def limit_clamp(spark, table):
     n = F.col("o_custkey")

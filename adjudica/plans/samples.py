@@ -173,7 +173,15 @@ def partition_contiguous(spark, table):
     return sampling.contiguous(table("documents").select("doc_id"), "doc_id", 7)
 
 
-@query()
+GREEDY = """WITH RECURSIVE f AS (SELECT source || '/' || lang AS key, sum(n_chars)::bigint AS size FROM documents GROUP BY 1),
+o AS (SELECT *, row_number() OVER (ORDER BY size DESC, key) AS r FROM f),
+g AS (SELECT 0::bigint AS r, ''::varchar AS key, 0::bigint AS size, 0 AS bin, [0, 0, 0, 0]::bigint[] AS loads UNION ALL
+SELECT r, key, size, b - 1, list_transform(loads, lambda x, i: CASE WHEN i = b THEN x + size ELSE x END) FROM
+(SELECT o.*, g.loads, list_position(g.loads, list_min(g.loads))::int AS b FROM g JOIN o ON o.r = g.r + 1))
+SELECT key, size, bin FROM g WHERE r > 0"""
+
+
+@query(GREEDY)
 def partition_greedy(spark, table):
     files = table("documents").groupBy("source", "lang").agg(F.sum("n_chars").alias("size"))
     return sampling.greedy_bins(files.select(F.concat_ws("/", "source", "lang").alias("key"), "size"), 4)
@@ -205,6 +213,12 @@ def probe_plan(spark, table):
     return spark.createDataFrame(rows, "row int, tokens array<long>, positions array<long>, key_id string, digest string")
 
 
+@query()
+def probe_plans(spark, table):
+    """A public probe and a private plan for every submission: tokens by its number, positions by a keyed seed; digests of both."""
+    return sampling.probe_plans(table("orders").select(F.col("o_orderkey").alias("id")), b"secret of this test", 1000, 4, 16, 3)
+
+
 @query("WITH l AS (SELECT doc_id AS seq_idx, quality FROM labels), n AS (SELECT *, row_number() OVER (ORDER BY seq_idx) - 1 AS i FROM l) SELECT seq_idx, ((i // 16) % 4)::int AS device, quality FROM n")
 def scatter_gather(spark, table):
     """Batches go round the devices; results come back by sequence."""

@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from adjudica.operators import balanced, listings, ownership, packing, sampling
+from adjudica.operators import balanced, bank, boards, fingerprint, listings, ownership, packing, registry, retention, sampling
 from adjudica.operators.balanced import Balance
 from adjudica.sources import ranges
 from adjudica.sources.versions import Versions
@@ -215,3 +215,91 @@ def test_dashboard_is_shown_when_due_or_forced_and_folds_each_batch_once(spark,
     board(batch(("c", 6, "progress", 1.0)), 4)
     assert shown()["c"] == ("progress", 1.0)
     assert ranges.exists(str(tmp_path / dashboard.DOCUMENT)) and not [p for p in tmp_path.iterdir() if p.name.endswith(".new")]
+
+
+@pytest.mark.parametrize("piece", [5, 500_000])
+def test_retention_equals_sorting_the_listing(spark, monkeypatch, piece):
+    monkeypatch.setattr(sampling, "PIECE", piece)
+    rng = random.Random(3)
+    files = [(i, rng.choice("ab") if i % 7 else None, rng.choice([1, 2, 5, None]), rng.randint(1, 20)) for i in range(60)]
+    rows = spark.createDataFrame(files, "id long, g string, t long, size long")
+    newest = lambda r: (r[2] is None, -(r[2] or 0), r[0])
+    for n in (0, 1, 4, 100):
+        want = {r[0] for g in ("a", "b", None) for r in sorted((f for f in files if f[1] == g), key=newest)[n:]}
+        assert {r.id for r in retention.keep_recent(rows, "g", "t", n).where("evict").collect()} == want
+        assert {r.id for r in retention.newest_n(rows, "t", n).where("keep").collect()} == {f[0] for f in sorted(files, key=newest)[:n]}
+    oldest = sorted(files, key=lambda r: (r[2] is not None, r[2] or 0, r[0]))
+    for limit, free in ((100, files), (10_000, files), (300, [f for f in files if f[1] != "a"])):
+        total, gone, want = sum(f[3] for f in files), 0, set()
+        for f in (o for o in oldest if o in free):
+            if total > limit and total - gone > 0.7 * limit:
+                want.add(f[0])
+            gone += f[3]
+        protected = None if free is files else F.coalesce(F.col("g") == "a", F.lit(False))
+        got = retention.watermark(rows, "size", "t", limit, protected=protected, ties=("id",))
+        assert {r.id for r in got.collect()} == want
+
+
+def test_an_entry_that_is_tried_again_comes_first(spark):
+    queue = spark.createDataFrame([(0, "a"), (1, "b"), (2, "a"), (3, "c")], "place long, repo string")
+    got = registry.requeue_front(queue, spark.createDataFrame([("a",)], "repo string")).orderBy("place").collect()
+    assert [r.repo for r in got] == ["a", "b", "c"]
+
+
+def test_probes_of_their_own(spark):
+    import numpy as np
+
+    ids = spark.createDataFrame([(1,), (2,), (None,)], "id long")
+    got = {r.id: r for r in sampling.probe_plans(ids, b"s", 50, 2, 8, 3).collect()}
+    assert set(got) == {1, 2} and got[1].private_digest != got[2].private_digest
+    tokens = np.random.Generator(np.random.PCG64(1)).integers(0, 50, (2, 8), dtype=np.int64)
+    assert got[1].public_digest == sampling.array_digest(tokens)
+    assert len(got[1].positions) == 3 and sorted(got[1].positions) == got[1].positions
+
+
+def test_requested_benchmarks(spark):
+    rows = [(1, ["MMLU", "mmlu", None, ""], "MMLU=2,mmlu=3"), (2, ["x"], None), (3, None, ""), (4, ["winogrande"], "WinoGrande=-1")]
+    requests = spark.createDataFrame(rows, "k long, names array<string>, shots string")
+    got = boards.requested(requests, boards.registry(spark), "k", "names", "shots").collect()
+    assert sorted((r.k, r.label, r.fewshot, r.known) for r in got if r.known) == [(1, "MMLU", 3, True), (4, "WinoGrande", 5, True)]
+    assert [r.k for r in got if not r.known] == [2]
+
+
+def bank_entry(digest, submission="s", **more):
+    return {"version": "v", "key_id": "k", "model_digest": digest, "submission_id": submission, "model_ref": f"r/{digest}", "created_at": 1.0, "compatibility_key": "{}"} | more
+
+
+def test_bank_store_follows_the_ordered_rule(spark, tmp_path):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    base = [rng.normal(0, 3, (3, 12)).astype(np.float32) for _ in range(3)]
+    offers = [("a", base[0]), ("b", base[1]), ("a2", base[0] + 1e-3), ("a", base[0]), ("c", base[2]), ("a3", base[0] + 2e-3), ("a4", base[0] - 1e-3), ("b2", base[1])]
+    store, plain = bank.BankStore(spark, str(tmp_path), max_entries=5, max_similar=3), fingerprint.Bank(5, 3)
+    for digest, logits in offers:
+        half = np.frombuffer(fingerprint.encode(logits)[0], "<f2").reshape(3, 12).astype(np.float32)
+        want = plain.offer(digest, "s", half, ("v", "k"))
+        got = store.compare_and_store(logits, bank_entry(digest))
+        assert (got["detected"], got["stored"], got["compared"]) == (want["detected"], want["stored"], want["compared"]), digest
+        assert (got["match"] or {}).get("model_digest") == want["match"]
+        stored = store.rows().orderBy("id").collect()
+        assert [(r.model_digest, r.similarity_group) for r in stored] == [(r["digest"], r["group"]) for r in plain.rows]
+    assert stored[0].id > 1 and [r.id for r in stored] == sorted({r.id for r in stored})
+    assert store.compare_and_store(np.zeros((2, 12), np.float32), bank_entry("shape"))["compared"] == 0
+    with pytest.raises(ValueError, match="digest"):
+        store.compare_and_store(base[0], bank_entry(""))
+    broken = store.rows().withColumn("logits_sha256", F.lit("0"))
+    store.save(broken)
+    with pytest.raises(Exception, match="does not match its digest"):
+        store.compare_and_store(base[0], bank_entry("z"))
+
+
+def test_an_older_bank_gains_its_families(spark, tmp_path):
+    store = bank.BankStore(spark, str(tmp_path))
+    assert store.rows().count() == 0
+    store.save(spark.createDataFrame([(4, "m", "v", "k"), (9, "n", "v", "k")], "id long, model_digest string, version string, key_id string"))
+    assert store.rows().columns == bank.COLUMNS.names
+    arrivals = spark.createDataFrame([(1, "n", "v", "k"), (2, "o", "v", "k"), (3, "o", "v", "k"), (4, "o", "w", None), (5, "", "v", "k"), (6, None, "v", "k")], "o long, model_digest string, version string, key_id string")
+    got = bank.insert(store.rows(), arrivals, "o").orderBy("id").collect()
+    assert [(r.id, r.model_digest, r.version, r.similarity_group) for r in got] == [(4, "m", "v", "m"), (9, "n", "v", "n"), (10, "o", "v", "o"), (11, "o", "w", "o")]
+    assert [r.id for r in bank.insert(store.rows(), arrivals, "o", 2).collect()] == [11, 10]
