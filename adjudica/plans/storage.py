@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import balanced, bank, ownership, packing, registry
-from ..sources import npytok, ranges, tensors
+from ..operators import balanced, bank, manifests, ownership, packing, registry
+from ..sources import npytok, ranges, scans, tensors
 from ..sources.shared import shared_folder
 from ..streaming import dashboard, watchdog
 from ..streaming import events as ev
@@ -79,6 +79,22 @@ def npy_index_lookup(spark, table):
     return found.select("record_idx", F.size("tokens").cast("long").alias("n"), F.array_max("tokens").alias("largest"))
 
 
+@query(r"""WITH n AS (SELECT source, lang, sum(len(regexp_split_to_array(text, '\s+')) + 1)::bigint AS n FROM documents GROUP BY 1, 2)
+SELECT lang || '/' || source || '.npy' AS key, CASE WHEN lang = 'en' THEN 4 * n + 129 ELSE 4 * n + 128 END AS size, CASE WHEN lang = 'en' THEN 'wrong_size' ELSE 'ok' END AS state, 'new/' || lang || '/' || source || '.npy' AS dest FROM n
+UNION ALL SELECT lang || '/gone.npy', 1, 'missing', 'new/' || lang || '/gone.npy' FROM (SELECT DISTINCT lang FROM n)""")
+def mirror_verified(spark, table):
+    """Shards of every language and source, listed in their store and held against the objects that a mirror should have."""
+    folder = shared_folder(spark, "mirror")
+    ids = F.transform(F.split("text", r"\s+"), lambda w: F.conv(F.substring(F.md5(w), 1, 4), 16, 10).cast("long"))
+    d = table("documents").select(F.concat_ws("/", "lang", "source").alias("name"), "lang", F.col("doc_id").alias("ord"), F.concat(ids, F.array(F.lit(0).cast("long"))).alias("tokens"))
+    npytok.write_shards(d, folder, source="name")
+    there = scans.objects(spark, folder, ".npy").select("key", "size")
+    langs = d.select("lang").distinct()
+    size = F.sum(F.size("tokens")).cast("long") * 4 + 128 + F.when(F.first("lang") == "en", 1).otherwise(0)
+    want = d.groupBy(F.concat("name", F.lit(".npy")).alias("key")).agg(size.alias("size")).unionByName(langs.select(F.concat("lang", F.lit("/gone.npy")).alias("key"), F.lit(1).cast("long").alias("size")))
+    return manifests.existing(want, there, "key", "size").withColumn("dest", manifests.destination(F.col("key"), "old/", "new/"))
+
+
 @query("""WITH g AS (SELECT user_id, event_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt, max(ts) OVER () AS last FROM events),
 d AS (SELECT user_id, ts, epoch(coalesce(nxt, last)) - epoch(ts) AS gap, nxt IS NULL AS open FROM g)
 SELECT user_id, ts + INTERVAL 180 SECOND AS at, 'idle_warned' AS phase FROM d WHERE gap >= 180 UNION ALL SELECT user_id, ts + INTERVAL 420 SECOND, 'idle_failed' FROM d WHERE gap >= 420""")

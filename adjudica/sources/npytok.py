@@ -218,19 +218,27 @@ class Writer(DataSourceArrowWriter):
         return Written(mine, done)
 
     def commit(self, messages: list[Written | None]) -> None:
-        entries = []
-        names = [e[0] for m in messages if m for e in m.entries]
-        if len(names) != len(set(names)):
+        """All shards into place, then the manifest; if that fails on the way, those moved go again."""
+        made = [(m.folder, *e) for m in messages if m for e in m.entries]
+        moved: list[str] = []
+        try:
+            if len({e[1] for e in made}) != len(made):
+                raise ValueError("a shard was written by two tasks; its rows must be in one partition")
+            for folder, _, key, *_ in made:
+                target = ranges.join(self.folder, key)
+                if not self.overwrite and ranges.exists(target):
+                    raise FileExistsError(f"{target} is there already")
+                ranges.move(ranges.join(folder, key), target)
+                moved.append(target)
+            entries = [{"source_file": name, "key": key, "n_tokens": n, "size_bytes": size, "sha256": digest} for _, name, key, n, size, digest in sorted(made, key=lambda e: e[2])]
+            totals = {"total_shards": len(entries), "total_tokens": sum(e["n_tokens"] for e in entries)}
+            ranges.put(ranges.join(self.folder, self.manifest), json.dumps(self.document | {"dtype": "uint32"} | totals | {"shards": entries}).encode())
+        except BaseException:
+            for target in moved:
+                ranges.remove(target)
+            raise
+        finally:
             ranges.remove(self.aside)
-            raise ValueError("a shard was written by two tasks; its rows must be in one partition")
-        for m in filter(None, messages):
-            for name, key, n, size, digest in m.entries:
-                ranges.move(ranges.join(m.folder, key), ranges.join(self.folder, key))
-                entries.append({"source_file": name, "key": key, "n_tokens": n, "size_bytes": size, "sha256": digest})
-        entries.sort(key=lambda e: e["key"])
-        totals = {"total_shards": len(entries), "total_tokens": sum(e["n_tokens"] for e in entries)}
-        ranges.put(ranges.join(self.folder, self.manifest), json.dumps(self.document | {"dtype": "uint32"} | totals | {"shards": entries}).encode())
-        ranges.remove(self.aside)
 
     def abort(self, messages: list[Written | None]) -> None:
         ranges.remove(self.aside)

@@ -109,8 +109,12 @@ def get(path: str) -> bytes:
 
 
 def move(source: str, target: str) -> None:
+    """Rename within a store; the target's folder is made."""
     system, inner, _ = at(source)
-    system.move(inner, at(target)[1])
+    to = at(target)[1]
+    if posixpath.dirname(to) != posixpath.dirname(inner):
+        system.create_dir(posixpath.dirname(to), recursive=True)
+    system.move(inner, to)
 
 
 def remove(path: str) -> None:

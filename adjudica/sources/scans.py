@@ -128,3 +128,14 @@ def decode_commitment(payload: Column) -> Column:
     bare = F.rlike(F.decode(raw, "ISO-8859-1"), F.lit("^v[0-9]"))
     body = F.when(bare, raw).otherwise(F.substring(raw, skip + 1, F.length(raw)))
     return F.decode(body, "UTF-8")
+
+
+def objects(spark: SparkSession, folder: str, suffix: str = "") -> DataFrame:
+    """(key, size, modified) of a folder's files at any depth: a listing that tasks share, of which no content is read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    if suffix:
+        files = files.option("pathGlobFilter", f"*{suffix}")
+    base = F.regexp_replace(F.lit(folder.rstrip("/")), "^file:/+", "/")
+    there = F.regexp_replace("path", "^file:/+", "/")
+    key = F.when(F.startswith(there, base), F.substring(there, F.length(base) + 2, F.length(there))).otherwise(there)
+    return files.load(folder).select(key.alias("key"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))

@@ -152,6 +152,28 @@ def test_attempts_write_apart_and_only_the_counted_one_is_moved(tmp_path):
     assert npytok.clean(str(tmp_path)) == 1 and sorted(os.listdir(tmp_path)) == ["a.npy", "manifest.json"]
 
 
+def test_a_commit_that_fails_takes_its_shards_back(tmp_path, monkeypatch):
+    import pyarrow as pa
+
+    def writer(**options):
+        made = npytok.Writer({"path": str(tmp_path)} | options, ROWS, False)
+        batch = pa.RecordBatch.from_pydict({"shard": ["x/a", "b"], "n_tokens": [1, 1], "tokens": [[1], [3]]})
+        return made, made.write(iter([batch]))
+
+    first, told = writer()
+    monkeypatch.setattr(ranges, "put", lambda *_: (_ for _ in ()).throw(OSError("full")))
+    with pytest.raises(OSError, match="full"):
+        first.commit([told])
+    assert not [p for p in tmp_path.rglob("*") if p.is_file()]
+    monkeypatch.undo()
+    second, told = writer()
+    second.commit([told])
+    third, told = writer(manifest="again.json")
+    with pytest.raises(FileExistsError):
+        third.commit([told])
+    assert sorted(p.name for p in tmp_path.rglob("*") if p.is_file()) == ["a.npy", "b.npy", "manifest.json"]
+
+
 def test_far_indices_read_one_range_each(spark, tmp_path, counted):
     np.save(tmp_path / "a.npy", np.arange(40_000, dtype="<u4"))
     np.save(tmp_path / "b.npy", np.arange(40_000, 80_000, dtype="<u4").reshape(-1, 8))
