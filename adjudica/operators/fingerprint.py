@@ -26,17 +26,27 @@ def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
 
 
-def distances(pairs: DataFrame, a: str = "lp_a", b: str = "lp_b") -> DataFrame:
-    """pairs with js, kl (symmetric), tv and top1 between two log-probability arrays."""
-    half = F.lit(float(np.log(2)))
-    mid = lambda s: F.greatest(s["p"], s["q"]) + F.log1p(F.exp(-F.abs(s["p"] - s["q"]))) - half
-    js = F.lit(0.5) * total(F.transform("_z", lambda s: F.exp(s["p"]) * (s["p"] - mid(s)) + F.exp(s["q"]) * (s["q"] - mid(s))))
-    kl = F.lit(0.5) * total(F.transform("_z", lambda s: (F.exp(s["p"]) - F.exp(s["q"])) * (s["p"] - s["q"])))
-    tv = F.lit(0.5) * total(F.transform("_z", lambda s: F.abs(F.exp(s["p"]) - F.exp(s["q"]))))
+def probabilities(log: Column) -> Column:
+    return F.transform(log, lambda v: F.exp(v))
+
+
+def distances(pairs: DataFrame, a: str = "lp_a", b: str = "lp_b", p_a: str | None = None, p_b: str | None = None) -> DataFrame:
+    """pairs with js, kl (symmetric), tv and top1 between two log-probability arrays.
+
+    p_a and p_b: columns of the probabilities themselves, where they were made before the
+    pairs were. What several sums need is made once for each pair of values.
+    """
+    own = lambda p, log: F.col(p) if p else probabilities(F.col(log))
+    zipped = pairs.withColumn("_z", F.arrays_zip(F.col(a).alias("la"), F.col(b).alias("lb"), own(p_a, a).alias("a"), own(p_b, b).alias("b")))
+    middle = lambda s: F.log(0.5 * (s["a"] + s["b"]))
+    # Where both underflow, the larger logarithm stands for the middle; such terms are zero anyway.
+    safe = lambda s: F.when(s["a"] + s["b"] > 0, middle(s)).otherwise(F.greatest(s["la"], s["lb"]))
+    zipped = zipped.withColumn("_z", F.transform("_z", lambda s: F.struct(s["la"].alias("la"), s["lb"].alias("lb"), s["a"].alias("a"), s["b"].alias("b"), safe(s).alias("m"))))
+    js = F.lit(0.5) * total(F.transform("_z", lambda s: s["a"] * (s["la"] - s["m"]) + s["b"] * (s["lb"] - s["m"])))
+    kl = F.lit(0.5) * total(F.transform("_z", lambda s: (s["a"] - s["b"]) * (s["la"] - s["lb"])))
+    tv = F.lit(0.5) * total(F.transform("_z", lambda s: F.abs(s["a"] - s["b"])))
     top = F.array_position(a, F.array_max(a)) == F.array_position(b, F.array_max(b))
-    z = pairs.withColumn("_z", F.arrays_zip(F.col(a), F.col(b)))
-    z = z.withColumn("_z", F.transform("_z", lambda s: F.struct(s[a].alias("p"), s[b].alias("q"))))
-    return z.withColumn("js", F.greatest(js, F.lit(0.0))).withColumn("kl", kl).withColumn("tv", tv).withColumn("top1", top.cast("double")).drop("_z")
+    return zipped.withColumn("js", F.greatest(js, F.lit(0.0))).withColumn("kl", kl).withColumn("tv", tv).withColumn("top1", top.cast("double")).drop("_z")
 
 
 def summary(rows: DataFrame, value: str, keys: list[str] | None = None) -> DataFrame:
@@ -49,8 +59,9 @@ def summary(rows: DataFrame, value: str, keys: list[str] | None = None) -> DataF
 def closest(candidates: DataFrame, stored: DataFrame) -> DataFrame:
     """Each candidate's nearest stored row by js; the newest among equals. stored: MAX_ENTRIES rows at most."""
     newest = stored.orderBy(F.desc("stored_id")).limit(MAX_ENTRIES)
-    pairs = candidates.crossJoin(F.broadcast(newest))
-    d = distances(pairs)
+    # Probabilities are made once a row, not once a pair; the bank is MAX_ENTRIES rows.
+    pairs = candidates.withColumn("p_a", probabilities(F.col("lp_a"))).crossJoin(F.broadcast(newest.withColumn("p_b", probabilities(F.col("lp_b")))))
+    d = distances(pairs, p_a="p_a", p_b="p_b")
     return d.groupBy("candidate_id").agg(F.min(F.struct(F.round("js", 12).alias("js"), (-F.col("stored_id")).alias("neg"))).alias("m")).select(
         "candidate_id", (-F.col("m.neg")).alias("stored_id"), F.round("m.js", 9).alias("js")
     )

@@ -132,9 +132,9 @@ def pack_until(files: DataFrame, read, tokenise, n: int, length: int, start: int
         at, size = at + size, max(1, at + size)
     if found is None or have < length:
         raise ValueError(f"{at} files give no window of {length} tokens")
-    end = min(n, have // length) * length
-    placed = token_offsets(found.withColumn("_all", F.lit(0)), ["_all"], ["turn", "ord"]).where(F.col("start") < end)
-    windows = cut(placed, length).where(F.size("tokens") == length)
+    made = min(n, have // length)
+    placed = token_offsets(found.withColumn("_all", F.lit(0)), ["_all"], ["turn", "ord"]).where(F.col("start") < made * length)
+    windows = cut(placed, length).where(F.col("seq_idx") < made)  # the last document may go on beyond them
     used = placed.groupBy("turn").agg(F.count("*").alias("docs_seen"))
     names = spark.createDataFrame([(t, k) for t, _, k in listed], "turn long, key string")
     return windows, used.join(F.broadcast(names), "turn").select("turn", "key", "docs_seen")

@@ -104,7 +104,7 @@ def test_packing_stops_when_there_are_enough_windows(spark):
                         return out, [tuple(u) for u in used]
         return out, None
 
-    for n, length, start in ((3, 16, 0), (20, 16, 8), (2, 200, 5), (40, 16, 9)):
+    for n, length, start in ((3, 16, 0), (20, 16, 8), (2, 200, 5), (40, 16, 9), (7, 3, 4)):
         got, want = run(n, length, start), plain(n, length, start)
         assert got == want
         assert len(read_files) <= 2 * len(want[1])
