@@ -101,4 +101,26 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN c USING (rid) LEFT JOIN m USING (rid)
 """
 
-ORACLE_SQL = {"op2_url_filter": _OP2, "op5_quality": _OP5, "op6_mixing": _OP6, "op9_decontamination": _OP9}
+def clustering_sql(k: int = 8, rounds: int = 10, seed: int = 3) -> str:
+    """Operator 13 written out round by round."""
+    gap = "list_sum(list_transform(range(1, 65), lambda j: (v[j] - z[j]) * (v[j] - z[j])))::bigint"
+    parts = [
+        """q AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) AS v FROM embeddings
+WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x) AND abs(x) < 65536)) = 64)""",
+        f"c0 AS MATERIALIZED (SELECT c, z FROM (SELECT row_number() OVER (ORDER BY sha256('{seed}:' || vec_id), v) - 1 AS c, v AS z FROM q) WHERE c < {k})",
+    ]
+    nearest = lambda i: f"SELECT rid, vec_id, v, min(d * {k} + c) AS m FROM (SELECT rid, vec_id, v, c, {gap} AS d FROM q, c{i}) GROUP BY ALL"
+    for i in range(rounds):
+        parts.append(f"a{i} AS MATERIALIZED (SELECT v, m % {k} AS c FROM ({nearest(i)}))")
+        parts.append(f"s{i} AS (SELECT c, j, sum(v[j]) AS s, count(*) AS n FROM a{i}, range(1, 65) t(j) GROUP BY 1, 2)")
+        parts.append(f"m{i} AS (SELECT c, list(((s - ((s % n) + n) % n) // n)::bigint ORDER BY j) AS z FROM s{i} GROUP BY 1)")
+        parts.append(f"c{i + 1} AS MATERIALIZED (SELECT c{i}.c, coalesce(m{i}.z, c{i}.z) AS z FROM c{i} LEFT JOIN m{i} ON m{i}.c = c{i}.c)")
+    parts.append(f"f AS MATERIALIZED (SELECT vec_id, (m % {k})::int AS cluster, m // {k} AS distance FROM ({nearest(rounds)}))")
+    return f"""WITH {", ".join(parts)}
+SELECT vec_id, cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::bigint AS cluster_inertia, (sum(distance) OVER ())::bigint AS inertia,
+sha256(array_to_string(z, ',')) AS centroid_sha256 FROM f JOIN c{rounds} ON c = cluster"""
+
+
+ORACLE_SQL = {
+    "op2_url_filter": _OP2, "op5_quality": _OP5, "op6_mixing": _OP6, "op9_decontamination": _OP9, "op13_clustering": clustering_sql(),
+}

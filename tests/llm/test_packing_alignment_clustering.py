@@ -12,7 +12,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from adjudica.llm import alignment, encoders, kdmeans, packing
-from adjudica.llm.queries import PIECES, VOCABULARY, op11_packing, op12_alignment, op13_clustering
+from adjudica.llm.queries import ORACLE_SQL, PIECES, QUERIES, VOCABULARY, op11_packing, op12_alignment, op13_clustering
+
+from ..oracle import duck, same
 
 ODD = [
     None, "", " ", "  \n ", "a", "plain words here", "two  spaces and\ttabs \n\n lines ", "<|endoftext|> inside <s> x</s>", "é ﬁ 你好世界 مرحبا 🙂👩‍👩‍👧",
@@ -342,3 +344,13 @@ def test_a_tie_is_never_pruned():
 
 def test_clustering_query_columns(spark):
     assert op13_clustering(spark, "/root/testdata/sf0.001").columns == ["vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"]
+
+
+@pytest.fixture(scope="module")
+def con():
+    return duck("/root/testdata/sf0.001")
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_sql_twins(spark, con, name):
+    same(QUERIES[name](spark, "/root/testdata/sf0.001"), con, ORACLE_SQL[name])
