@@ -38,7 +38,7 @@ from .common import Scratch, ship
 
 ship(__name__)
 
-BLOCK_CHARS = 14_000_000
+BLOCK_CHARS = 20_000_000
 #: Groups with more links are counted by their distinct ids.
 WIDE_GROUP = 4096
 #: Segments of documents whose pairs are made distinct at a time, and distinct segments decoded at a time.

@@ -193,7 +193,7 @@ def plain_alignment(texts):
 COLUMNS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
 
 
-@pytest.mark.parametrize("block", [200, 28_000_000])
+@pytest.mark.parametrize("block", [200, 20_000_000])
 def test_alignment_equals_its_definition(spark, monkeypatch, block):
     monkeypatch.setattr(alignment, "BLOCK_CHARS", block)
     rng = random.Random(6)
