@@ -230,9 +230,11 @@ def score_toxicity(documents: DataFrame, lexicon: Lexicon, name: str = "toxicity
 
 def training_rows(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """Labelled rows that may be learnt from: crc32 of the id as text, mod 5, not 0."""
+    own = labels.where("toxic is not null").select("doc_id", "toxic")
     return (
         documents.select("doc_id", "text")
         .where((F.crc32(F.col("doc_id").cast("string")) % 5) != 0)
-        .join(labels.where("toxic is not null").select("doc_id", "toxic"), "doc_id")
+        # One plan at every size: few labels would be broadcast, more of them would have the texts shuffled.
+        .join(own.hint("merge"), "doc_id")
         .select("doc_id", "text", "toxic")
     )

@@ -281,3 +281,11 @@ def test_window_steps_cover_any_length(n):
         assert left in made and size - left in made and offset == left
         made.add(size)
     assert n in made
+
+
+def test_toxicity_training_rows_have_one_plan(spark):
+    """A broadcast of few labels would become a shuffle of texts as labels grow."""
+    docs = documents(spark, ["a fool", "a friend", None])
+    rows = toxicity.training_rows(docs, spark.range(3).selectExpr("id as doc_id", "cast(id % 2 as int) as toxic"))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
