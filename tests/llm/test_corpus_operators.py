@@ -466,3 +466,16 @@ def test_scratch_holds_live_tables_only(spark):
     assert docs.count() == 3 and a in Scratch.opened and b not in Scratch.opened
     with pytest.raises(Exception, match="(?i)not.?exist|no such|not found"):
         spark.read.parquet(stale._scratch_path).count()
+
+
+def test_texts_are_cut_in_bounded_parts(spark):
+    """A part ends near PART bytes, however many texts a batch holds; every row is in one part."""
+    sizes = [400, 0, 3_000_000, 7, *[900_000] * 9, 0]
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    found = suffixdedup.parts(offsets)
+    assert [i for a, b in found for i in range(a, b)] == list(range(len(sizes)))
+    assert all(offsets[b] - offsets[a] <= suffixdedup.PART + max(sizes[a:b]) for a, b in found) and len(found) > 5
+    assert suffixdedup.parts(np.zeros(1, np.int64)) == []
+    passage = prose(200)
+    got = suffixdedup.report_repeats(documents(spark, [f"{prose(30)} {passage} {i}" for i in range(5)])).collect()
+    assert all(r.n_removed >= len(passage) and r.n_spans == 1 for r in got)
