@@ -468,6 +468,28 @@ def test_scratch_holds_live_tables_only(spark):
         spark.read.parquet(stale._scratch_path).count()
 
 
+def test_line_candidates_of_long_lines(spark):
+    """Unrelated long lines that share common words are no candidates; edited ones are, up to the edits allowed."""
+    common = [f"{a}{b}" for a in ("the", "and", "of", "in") for b in ("", "re", "th")]
+    syllables = ["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en", "ou", "ti"]
+    word = lambda: RNG.choice(common) if RNG.random() < 0.3 else "".join(RNG.choice(syllables, 3))
+    lines = [" ".join(word() for _ in range(170)) for _ in range(40)]
+
+    def scattered(line):
+        letters = list(line)
+        for i in RNG.choice(len(letters), int(len(letters) * 0.14), replace=False):
+            letters[i] = RNG.choice(list("abcdefgh")) if letters[i] != " " else " "
+        return "".join(letters)
+
+    rows = [(i, x) for i, x in enumerate(lines)] + [(100 + i, scattered(x)) for i, x in enumerate(lines)]
+    told = linededup.with_simhash(spark.createDataFrame(rows, "line long, form string"))
+    x, y = told.select(*[F.col(c).alias(f"a_{c}") for c in told.columns]), told.select(*[F.col(c).alias(f"b_{c}") for c in told.columns])
+    met = x.join(y, (F.col("a_id") < F.col("b_id")) & linededup.near(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}")))
+    found = {(r.a_id, r.b_id) for r in met.select("a_id", "b_id").collect()}
+    assert {(i, 100 + i) for i in range(40)} <= found
+    assert sum(b % 100 != a % 100 for a, b in found) < 30
+
+
 def test_texts_are_cut_in_bounded_parts(spark):
     """A part ends near PART bytes, however many texts a batch holds; every row is in one part."""
     sizes = [400, 0, 3_000_000, 7, *[900_000] * 9, 0]
