@@ -501,3 +501,33 @@ def test_texts_are_cut_in_bounded_parts(spark):
     passage = prose(200)
     got = suffixdedup.report_repeats(documents(spark, [f"{prose(30)} {passage} {i}" for i in range(5)])).collect()
     assert all(r.n_removed >= len(passage) and r.n_spans == 1 for r in got)
+
+
+def test_line_keys_are_made_once_for_each_form(spark):
+    """A repeated line has its keys made once, whatever its place; lines near the bound of a kind have two rows."""
+    line = " ".join(f"word{i}" for i in range(12))
+    docs = documents(spark, [f"{line}\n{line.upper()}\nAlpha, beta - gamma: delta epsilon {i // 20}" for i in range(40)])
+    forms = linededup.forms_of(docs)
+    assert forms.count() == 120
+    got = linededup.with_keys(forms)
+    assert got.count() == 3 and got.select("line").distinct().count() == 3
+    assert got.where(F.col(linededup.KEYS[0]).isNull()).count() == 0
+
+
+def test_symbols_bound_edits(spark):
+    """UNIT times the distance of symbols is never below that of characters, so that it may link at once."""
+    rng = np.random.default_rng(8)
+    vocabulary = ["a", "of", "the", "tions", "interest", "ñandú", "straßenbahnhaltestelle", "x" * 40]
+    rows = []
+    for i in range(120):
+        a = [str(rng.choice(vocabulary)) for _ in range(30)]
+        b = list(a)
+        for _ in range(rng.integers(1, 9)):
+            at = int(rng.integers(len(b)))
+            b[at : at + int(rng.integers(0, 2))] = [str(rng.choice(vocabulary)) for _ in range(rng.integers(0, 3))]
+        rows += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(b))]
+    told = linededup.with_symbols(spark.createDataFrame(rows, "line long, form string"))
+    x, y = (told.select((F.col("line") - side).alias("k"), F.col("form").alias(f"form_{side}"), F.col("symbols").alias(f"s_{side}")) for side in (0, 1))
+    bound = F.levenshtein("s_0", "s_1") * linededup.UNIT - F.levenshtein("form_0", "form_1")
+    got = [r[0] for r in x.join(y, "k").where("k % 2 = 0").select(bound).collect()]
+    assert len(got) == 120 and min(got) >= 0
