@@ -490,6 +490,46 @@ def test_line_candidates_of_long_lines(spark):
     assert sum(b % 100 != a % 100 for a, b in found) < 30
 
 
+def test_line_candidates_of_lines_that_repeat_a_passage(spark):
+    """Few different features don't make unrelated lines candidates: each counts once in every part of its line."""
+    rng = np.random.default_rng(11)
+    syllables = ["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en", "ou", "ti"]
+    word = lambda: rng.choice(["the", "and", "of", "in"]) if rng.random() < 0.3 else "".join(rng.choice(syllables, 3))
+    lines = [" ".join([" ".join(word() for _ in range(14))] * 12) for _ in range(40)]
+
+    def scattered(line):
+        letters = list(line)
+        for i in rng.choice(len(letters), int(len(letters) * 0.14), replace=False):
+            letters[i] = rng.choice(list("abcdefgh")) if letters[i] != " " else " "
+        return "".join(letters)
+
+    rows = [(i, x) for i, x in enumerate(lines)] + [(100 + i, scattered(x)) for i, x in enumerate(lines)]
+    told = linededup.with_simhash(spark.createDataFrame(rows, "line long, form string"))
+    x, y = told.select(*[F.col(c).alias(f"a_{c}") for c in told.columns]), told.select(*[F.col(c).alias(f"b_{c}") for c in told.columns])
+    met = x.join(y, (F.col("a_id") < F.col("b_id")) & linededup.near(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}")))
+    found = {(r.a_id, r.b_id) for r in met.select("a_id", "b_id").collect()}
+    assert {(i, 100 + i) for i in range(40)} <= found
+    assert sum(b % 100 != a % 100 for a, b in found) < 30
+
+
+def test_generated_code_of_line_candidates_is_compiled(spark, capsys):
+    """The JVM interprets methods of over 8,000 bytes for good."""
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # an adaptive plan shows its code only once it has run
+    try:
+        linededup.with_simhash(spark.createDataFrame([(1, "a b c")], "line long, form string")).explain("codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) < 8_000
+
+
+def test_lines_of_separators_outside_ascii_have_words(spark):
+    """U+0085 and U+2028 are no ASCII signs: a repeated line of one goes, lines of signs alone stay."""
+    docs = documents(spark, ["\u2028\n--\n\u0085", "\u2028\n--\n \n\u0085"])
+    assert {r.doc_id: r.text for r in linededup.dedup_lines(docs).collect()} == {0: "\u2028\n--\n\u0085", 1: "--\n "}
+
+
 def test_texts_are_cut_in_bounded_parts(spark):
     """A part ends near PART bytes, however many texts a batch holds; every row is in one part."""
     sizes = [400, 0, 3_000_000, 7, *[900_000] * 9, 0]
