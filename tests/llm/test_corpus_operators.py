@@ -571,3 +571,18 @@ def test_symbols_bound_edits(spark):
     bound = F.levenshtein("s_0", "s_1") * linededup.UNIT - F.levenshtein("form_0", "form_1")
     got = [r[0] for r in x.join(y, "k").where("k % 2 = 0").select(bound).collect()]
     assert len(got) == 120 and min(got) >= 0
+
+
+@pytest.mark.parametrize("size", [40, 90, 300, 900])
+def test_edited_lines_without_spaces_are_linked(spark, size):
+    """An edit at the start of a line of one word is one edit, not all of its SimHash."""
+    rng = np.random.default_rng(size)
+    rows = []
+    for i in range(20):
+        letters = rng.choice(list("abcdefghijklmnopqrstuvwxyz"), size)
+        other = "".join(letters[:3]) + ("q" if letters[3] != "q" else "x") + "".join(letters[4:])
+        rows += [(2 * i, "".join(letters)), (2 * i + 1, other)]
+    told = linededup.with_simhash(spark.createDataFrame(rows, "line long, form string"))
+    x, y = told.select(*[F.col(c).alias(f"a_{c}") for c in told.columns]), told.select(*[F.col(c).alias(f"b_{c}") for c in told.columns])
+    met = x.join(y, (F.col("b_id") == F.col("a_id") + 1) & (F.col("a_id") % 2 == 0) & linededup.near(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}")))
+    assert met.count() == 20
