@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from adjudica.functions import hashing
 from adjudica.operators import duel, fingerprint, sampling
-from adjudica.plans.catalogue import QUERIES
+from adjudica.plans.catalogue import ORACLES, QUERIES
 from adjudica.plans.duels import pairs_of
 
+from .oracle import same
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -75,3 +77,20 @@ def draws(b, n=40, seed=3):
         x = (k * m[0] + b * m[1] + seed) % duel.PRIME * m[2] % duel.PRIME
         y = (x * x + k) % duel.PRIME
         yield (y * y + x) % duel.PRIME
+
+
+@pytest.mark.parametrize("hot", [1, 3, 100_000])
+def test_losses_of_odd_tables(spark, tmp_path, monkeypatch, hot):
+    """Repeated and missing ids, sources and labels; tokens that are broadcast and tokens that are not."""
+    documents = [(1, "a", "x y x  z"), (1, "a", "y q"), (1, None, "x"), (2, "a", ""), (3, "b", None), (None, "b", "x only"), (4, "b", "z z w"), (5, None, "x y\nz")]
+    labels = [(1, 1, 0), (1, 1, 1), (2, 0, 0), (4, 1, 0), (5, None, 1), (None, 1, 0), (9, 1, 0)]
+    spark.createDataFrame(documents, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    monkeypatch.setattr(duel, "HOT_TOKENS", hot)
+    con = duckdb.connect()
+    for name in ("documents", "labels"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    got = QUERIES["duel_pair_losses"](spark, str(tmp_path))
+    same(got, con, ORACLES["duel_pair_losses"])
+    # The texts are not scored anew by each reader: what is given is a table.
+    assert all("/losses-" in f for f in duel.cohort_scores(spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.read.parquet(f"{tmp_path}/labels.parquet")).inputFiles())
