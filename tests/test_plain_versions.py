@@ -94,3 +94,48 @@ def test_losses_of_odd_tables(spark, tmp_path, monkeypatch, hot):
     same(got, con, ORACLES["duel_pair_losses"])
     # The texts are not scored anew by each reader: what is given is a table.
     assert all("/losses-" in f for f in duel.cohort_scores(spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.read.parquet(f"{tmp_path}/labels.parquet")).inputFiles())
+
+
+@pytest.mark.parametrize("held", [7, 1000])
+def test_draws_by_group_and_part(spark, monkeypatch, held):
+    """Groups of other sizes, null values and null groups; tasks that hold all values and tasks that hold a part."""
+    sizes = {"a": 40, "b": 1, "c": 23, None: 5}
+    values = {g: [None if g == "c" and i % 4 == 0 else float(i * i) for i in range(n)] for g, n in sizes.items()}
+    df = spark.createDataFrame([(g, i, d) for g, ds in values.items() for i, d in enumerate(ds)], "g string, i long, d double")
+    monkeypatch.setattr(duel, "MAX_BROADCAST", held)
+    monkeypatch.setattr(duel, "DRAWS", 50)
+    got = {(r.g, r.b): r["mean"] for r in duel.bootstrap_means(df, 9, 2**31 + 5, "g").collect()}
+    want = {}
+    for g in ("a", "b", "c"):
+        for b in range(9):
+            drawn = [values[g][int(x) % sizes[g]] for x in draws(b, sizes[g], 2**31 + 5)]
+            want[g, b] = np.mean([x for x in drawn if x is not None])
+    assert got == pytest.approx(want)
+
+
+def test_draws_are_not_shuffled(spark):
+    """Values are, once packed; draws, replicates times as many, meet them in a task."""
+    values = spark.range(5000).select(F.col("id").alias("i"), F.col("id").cast("double").alias("d"))
+    plan = duel.bootstrap_means(values, 50, 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "Join Inner, (i" not in plan
+
+
+@pytest.mark.parametrize("spread", [3, 1000])
+def test_stop_points_equal_brute_force(spark, monkeypatch, spread):
+    """Quantiles of each prefix, with crowds of equal values and null ones, whatever the ranges."""
+    rng = np.random.default_rng(spread)
+    d = [None if rng.random() < 0.05 else float(x) for x in rng.integers(-spread, spread, 500) / 8]
+    d[:3] = [None] * 3
+    pairs = spark.createDataFrame([(5 * i, x, 0.0) for i, x in enumerate(d)], "seq_idx long, champion_loss double, challenger_loss double")
+    monkeypatch.setattr(duel, "RANGE", 60)
+    got = {r.batch: (r.done, r.n, r.heuristic_bound, r.stops) for r in duel.stop_points(pairs, 3, 0.05).collect()}
+    for batch in range(167):
+        done = min(3 * batch + 3, 500)
+        seen = [x for x in d[:done] if x is not None]
+        if not seen:
+            assert got[batch] == (done, 500, None, None if done >= 100 else False)
+            continue
+        bound = (sum(seen) + (500 - done) * np.quantile(seen, 0.94)) / 500
+        assert got[batch][:2] == (done, 500) and got[batch][2] == pytest.approx(bound)
+        assert got[batch][3] == (100 <= done < 500 and got[batch][2] < 0.05)
+    assert len(got) == 167
